@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .fingerprints import op10_fingerprints
+from .packing import op9_packing
 from .toxicity import op3_toxicity
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op9_packing": op9_packing,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {}
