@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from .fingerprints import op10_fingerprints
+from .mixing import OP4_SQL, op4_mixing
 from .packing import op9_packing
+from .sharding import op7_sharding
 from .toxicity import op3_toxicity
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op4_mixing": op4_mixing,
+    "op7_sharding": op7_sharding,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": OP4_SQL,
+}
