@@ -6,11 +6,15 @@ from .fingerprints import op10_fingerprints
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op9_packing
 from .sharding import op7_sharding
+from .token_counts import op2_token_counts
 from .toxicity import op3_toxicity
+from .urls import op5_url_filter
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_url_filter": op5_url_filter,
     "op7_sharding": op7_sharding,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
