@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op10_fingerprints
+from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op9_packing
 from .sharding import op7_sharding
@@ -16,9 +17,11 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
     "op7_sharding": op7_sharding,
+    "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
+    "op8_line_dedup": OP8_SQL,
 }
