@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embeddings import OP6_SQL, op6_embedding_dedup
 from .fingerprints import op10_fingerprints
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import OP4_SQL, op4_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
@@ -23,5 +25,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
+    "op6_embedding_dedup": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
 }
