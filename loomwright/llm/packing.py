@@ -86,13 +86,13 @@ def tokenize(docs: DataFrame, groups: int, capacity: int = CAPACITY, max_piece:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(path)
-        part, seen = np.uint64(TaskContext.get().partitionId() << 40), 0
+        seen = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            dealt = mix(np.arange(seen, seen + batch.num_rows, dtype=np.uint64)) % np.uint64(groups)
+            seen += batch.num_rows
+            for doc_id, text, group in zip(batch.column("doc_id").to_pylist(), batch.column("text"), dealt.tolist(), strict=True):
                 ids = bpe.encode(text.as_py()) + end
-                group = int(mix(part + np.uint64(seen)) % np.uint64(groups))
-                seen += 1
                 n, start = len(ids) // 4, 0
                 while start < n:
                     length = capacity if n - start >= capacity else min(max_piece, n - start)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .embeddings import OP6_SQL, op6_embedding_dedup
 from .fingerprints import op10_fingerprints
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .minhash import op1_near_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op9_packing
 from .sharding import op7_sharding
@@ -13,6 +14,7 @@ from .toxicity import op3_toxicity
 from .urls import op5_url_filter
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
