@@ -29,20 +29,22 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> S
     return spark
 
 
-def _prepare_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoints at the folder that driver and executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and intermediate tables that driver and executors share.
 
     That is ``spark.checkpoint.dir`` of the session. Where it is unset, a local session gets a
     temporary folder and a cluster a folder in its warehouse.
     """
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isEmpty():
-        return
+    set_to = context._jsc.sc().getCheckpointDir()
+    if not set_to.isEmpty():
+        return set_to.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
         folder = tempfile.mkdtemp(prefix="loomwright-")
         atexit.register(shutil.rmtree, folder, True)
     context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     The copy survives lost executors, and the partitions keep their numbers and contents.
     """
-    _prepare_checkpoints(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
