@@ -1,0 +1,77 @@
+import numpy as np
+
+from loomwright.llm import embeddings as emb
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(v, e, l, 1) for v, e, l in rows], "vec_id long, embedding array<float>, label int, n_links int").repartition(3)
+
+
+def brute(rows, threshold=0.98):
+    seen = {}
+    for v, e, label in rows:
+        good = e is not None and label is not None and all(x is not None and np.isfinite(x) for x in e) and any(e)
+        seen[v] = (np.array(e, np.float32).astype(float) if good else None, label)
+    links = {v: [] for v in seen}
+    for a, (x, la) in seen.items():
+        for b, (y, lb) in seen.items():
+            if a != b and x is not None and y is not None and la == lb and x @ y / np.sqrt((x @ x) * (y @ y)) >= threshold:
+                links[a].append(b)
+    label = {v: v for v in seen}
+    for _ in seen:
+        for a in links:
+            for b in links[a]:
+                label[a] = min(label[a], label[b])
+    return {v: (len(links[v]), label[v]) for v in seen}
+
+
+def found(spark, rows, **options):
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in emb.near_dups(table(spark, rows), **options).collect()}
+
+
+def made(groups, spread, dims=16, seed=1):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(groups):
+        base = rng.normal(size=dims)
+        for _ in range(rng.integers(1, 12)):
+            rows.append((len(rows), (base + spread * rng.normal(size=dims)).tolist(), g % 3))
+    return rows
+
+
+def test_links_match_brute_force(spark):
+    rows = made(60, 0.12)
+    got, want = found(spark, rows), brute(rows)
+    assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values())
+    assert sum(got[v] == want[v] for v in want) >= 0.97 * len(want)
+    assert all(got[v][0] <= want[v][0] for v in want)
+
+
+def test_recall_of_made_neighbours():
+    rng = np.random.default_rng(2)
+    unit = emb._unit(rng.normal(size=(3000, 32)))
+    index = emb.fit(unit)
+    noise = rng.normal(size=(500, 32))
+    noise -= (noise * unit[:500]).sum(1)[:, None] * unit[:500]
+    near = 0.98 * unit[:500] + np.sqrt(1 - 0.98**2) * emb._unit(noise)
+    row, cell = index.visits(near)
+    own = index.cells(unit[:500])
+    assert (np.isin(own * 500 + np.arange(500), cell * 500 + row)).mean() >= 0.99
+
+
+def test_blocks_of_a_hot_cell_and_copies(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8)
+    rows = [(i, (base + 0.02 * rng.normal(size=8)).tolist(), 0) for i in range(90)]
+    rows += [(100 + i, rows[0][1], 0) for i in range(20)]
+    assert found(spark, rows, block=16) == brute(rows)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    v = [1.0, 2.0, 3.0, 4.0]
+    rows = [(1, v, 1), (2, [2 * x for x in v], 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0] * 4, 1), (7, [nan, 1, 1, 1], 1), (8, [inf, 1, 1, 1], 1), (9, [None, 2.0, 3.0, 4.0], 1), (10, [], 1)]
+    assert found(spark, rows) == brute(rows)
+    assert found(spark, []) == {}
+    assert found(spark, [(1, None, 1)]) == {1: (0, 1)}
+    assert found(spark, [(1, v, 1), (1, v, 1), (2, v, 1)]) == {1: (1, 1), 2: (1, 1)}
