@@ -8,32 +8,35 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+#: Links for each partition of the loop: its small tables do not need a cluster's worth of partitions.
+LINKS_PER_PARTITION = 500_000
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
     """(id, component): the smallest vertex id of each weakly connected component.
 
     ``edges`` has (src, dst); ``vertices``, if given, has (id) and adds isolated ones. Every round takes
-    the least label among the neighbours and then the label of that label, so long paths shrink by more
-    than a step a round. Labels and edges live in checkpoints; only the number of changes reaches the driver.
+    the least label among the neighbours and the label of the own label, so long paths shrink by more
+    than a step a round. Labels and edges live in checkpoints, in as many partitions as the number of
+    links asks for; only that number and whether labels changed reach the driver.
     """
     links = edges.where("src <> dst").select("src", "dst")
     links = cut(links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    parts = 1 + links.count() // LINKS_PER_PARTITION
+    links = links.coalesce(parts)
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
     if vertices is not None:
         ends = ends.union(vertices.select("id"))
-    labels = cut(
-        ends.distinct()
-        .join(links.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("near")), "id", "left")
-        .select("id", F.least("id", F.coalesce("near", "id")).alias("component"))
-    )
+    first = links.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("near"))
+    labels = ends.distinct().join(first, "id", "left").select("id", F.least("id", F.coalesce("near", "id")).alias("component"))
+    labels = cut(labels.coalesce(parts))
     for _ in range(max_rounds):
-        near = (
-            links.join(labels.withColumnRenamed("id", "dst"), "dst")
-            .groupBy(F.col("src").alias("id"))
-            .agg(F.min("component").alias("near"))
-        )
-        hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        jump = hooked.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        labels = cut(hooked.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
+        met = links.join(labels.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "component").coalesce(parts)
+        near = met.groupBy("id").agg(F.min("component").alias("near"))
+        hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), "near").coalesce(parts)
+        jump = labels.select(F.col("id").alias("was"), F.col("component").alias("further"))
+        rows = hooked.join(jump, "was").select("id", "was", F.least("was", F.coalesce("near", "was"), "further").alias("component"))
+        labels = cut(rows.coalesce(parts))
         if labels.where("component <> was").limit(1).count() == 0:
             break
         labels = labels.select("id", "component")
