@@ -172,13 +172,12 @@ def near_dups(docs: DataFrame, threshold: float = THRESHOLD, components: int = C
 
     Texts are compared by their words in lower case. Texts without words are equal to each other. A null
     text is in no group (class_id is its doc_id); a null doc_id has a null class_id and is kept; rows that
-    repeat a doc_id are one document if their texts are equal and else take the class of either. An
-    empty table gives no rows; further columns are ignored.
+    repeat a doc_id with an equal text are the same document and are kept alike. An empty table gives
+    no rows; further columns are ignored.
     """
     signed = cut(signatures(docs, components, bands))
-    classes = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    keys = signed.join(classes.select(F.col("d1").alias("r1"), F.col("d2").alias("r2"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")))
-    filed = keys.select("rep", F.explode("keys").alias("bucket")).distinct()
+    classes = cut(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")))
+    filed = classes.select("rep", F.explode("keys").alias("bucket"))
     sizes = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).where("n > 1")
     members = cut(filed.join(sizes, "bucket"))
     wanted = members.select(F.col("rep").alias("of")).distinct()
@@ -201,10 +200,9 @@ def near_dups(docs: DataFrame, threshold: float = THRESHOLD, components: int = C
     last = cut(_meet(around, contents, threshold))
     found = connected_components(linked.union(last)) if last.limit(1).count() else found
     classes = classes.join(found, F.col("rep") == F.col("id"), "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("class_id"))
-    of = signed.join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    out = ids.join(of.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    named = signed.join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).select("doc_id", "class_id")
+    lone = docs.where("doc_id IS NULL OR text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"))
+    return named.union(lone).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def _meet(around: DataFrame, contents: DataFrame, threshold: float, block: tuple[int, int] = BLOCK) -> DataFrame:
