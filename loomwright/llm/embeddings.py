@@ -248,7 +248,7 @@ def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS s, b.vec_id AS t FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
 reach(s, t) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.s, l.t FROM reach r JOIN links l ON r.t = l.s),
 counts AS (SELECT s, count(*) AS n FROM links GROUP BY s),
