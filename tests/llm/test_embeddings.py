@@ -70,7 +70,7 @@ def test_blocks_of_a_hot_cell_and_copies(spark):
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     v = [1.0, 2.0, 3.0, 4.0]
-    rows = [(1, v, 1), (2, [2 * x for x in v], 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0] * 4, 1), (7, [nan, 1, 1, 1], 1), (8, [inf, 1, 1, 1], 1), (9, [None, 2.0, 3.0, 4.0], 1), (10, [], 1)]
+    rows = [(1, v, 1), (2, [2 * x for x in v], 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0] * 4, 1), (7, [nan, 1.0, 1.0, 1.0], 1), (8, [inf, 1.0, 1.0, 1.0], 1), (9, [None, 2.0, 3.0, 4.0], 1), (10, [], 1)]
     assert found(spark, rows) == brute(rows)
     assert found(spark, []) == {}
     assert found(spark, [(1, None, 1)]) == {1: (0, 1)}
