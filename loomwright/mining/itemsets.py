@@ -38,6 +38,7 @@ def levelwise(baskets: DataFrame, min_support: float, partitions: list[int] | No
     of frequent sets of a level reaches the driver. ``partitions`` gives the partitions of each level's
     join, the last one for all further levels.
     """
+    baskets = cut(baskets)
     _, threshold = min_count(baskets, min_support)
     long = baskets.select("tid", F.explode(F.array_distinct("items")).alias("last"))
     frequent = cut(item_frequencies(baskets, threshold).select(F.col("item").alias("last"), "support"))
@@ -61,6 +62,7 @@ def fp_growth(baskets: DataFrame, min_support: float, partitions: int | None = N
     """By the library's parallel FP-growth, its threshold set so that the same sets are frequent."""
     from pyspark.ml.fpm import FPGrowth
 
+    baskets = cut(baskets)
     n, threshold = min_count(baskets, min_support)
     if not n or threshold >= n:
         return baskets.sparkSession.createDataFrame([], ITEMSETS)
@@ -99,6 +101,7 @@ def projected(baskets: DataFrame, min_support: float, rho: int = 2, partitions:
     suffix of up to ``rho`` items gets its support by a grouped sum; the paths before a suffix of
     ``rho`` items, again counted once, are mined on their own. A larger ``rho`` gives more, smaller groups.
     """
+    baskets = cut(baskets)
     _, threshold = min_count(baskets, min_support)
     frequent = item_frequencies(baskets, threshold)
     ranked = baskets.select("tid", F.explode(F.array_distinct("items")).alias("item")).join(frequent, "item")
