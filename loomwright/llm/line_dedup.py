@@ -93,7 +93,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hashed = lines.withColumn("words", F.split("folded", " ")).withColumn("n", F.size("words"))
     slim = cut(hashed.select("doc_id", "place", "n", F.xxhash64("folded").alias("h1"), F.xxhash64(F.lit(7), "folded").alias("h2"), F.expr(_half_keys(min_words)).alias("keys")))
     keyed = slim.select("h1", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+    # From a checkpoint, so that both sides of the join are shuffled for it and a hot key can be split.
+    shared = cut(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))
     likely_hashes = keyed.join(shared, "key").groupBy("h1").agg(F.lit(True).alias("likely"))
     at = F.struct("doc_id", "place")
     distinct = slim.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n"))
