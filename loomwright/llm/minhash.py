@@ -178,7 +178,8 @@ def near_dups(docs: DataFrame, threshold: float = THRESHOLD, components: int = C
     signed = cut(signatures(docs, components, bands))
     classes = cut(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")))
     filed = classes.select("rep", F.explode("keys").alias("bucket"))
-    sizes = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).where("n > 1")
+    # Sums that are joined back come from checkpoints: both sides are then shuffled for the join, and a hot key can be split.
+    sizes = cut(filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).where("n > 1"))
     members = cut(filed.join(sizes, "bucket"))
     wanted = members.select(F.col("rep").alias("of")).distinct()
     few = wanted.count() <= BROADCAST_ROWS
@@ -186,7 +187,7 @@ def near_dups(docs: DataFrame, threshold: float = THRESHOLD, components: int = C
     contents = cut(bags(texts).dropDuplicates(["id"]))
 
     by_hub = cut(verify(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), contents))
-    nearest = members.where("n > 2").join(by_hub, (F.col("hub") == F.col("a")) & (F.col("rep") == F.col("b"))).groupBy("bucket").agg(F.max(F.struct("j", F.negate("rep").alias("rep"))).alias("best")).select("bucket", F.negate("best.rep").alias("next"))
+    nearest = cut(members.where("n > 2").join(by_hub, (F.col("hub") == F.col("a")) & (F.col("rep") == F.col("b"))).groupBy("bucket").agg(F.max(F.struct("j", F.negate("rep").alias("rep"))).alias("best")).select("bucket", F.negate("best.rep").alias("next")))
     second = members.join(nearest, "bucket").where("rep <> next AND rep <> hub").select(F.col("next").alias("a"), F.col("rep").alias("b")).distinct()
     by_next = cut(verify(second.join(by_hub, ["a", "b"], "left_anti"), contents))
     linked = by_hub.where(F.col("j") >= threshold).union(by_next.where(F.col("j") >= threshold)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -207,7 +208,7 @@ def near_dups(docs: DataFrame, threshold: float = THRESHOLD, components: int = C
 
 def _meet(around: DataFrame, contents: DataFrame, threshold: float, block: tuple[int, int] = BLOCK) -> DataFrame:
     """Links (src, dst) between members apart from a home component and all members around it."""
-    sizes = around.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("apart"), 1)).alias("apart_n")).where("apart_n > 0 AND n > 2")
+    sizes = cut(around.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("apart"), 1)).alias("apart_n")).where("apart_n > 0 AND n > 2"))
     sizes = sizes.select(F.col("home").alias("h"), F.ceil(F.col("apart_n") / block[0]).cast("int").alias("rows"), F.ceil(F.col("n") / block[1]).cast("int").alias("cols"))
     own = lambda n: F.array(F.pmod(F.xxhash64("rep"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
