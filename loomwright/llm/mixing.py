@@ -18,6 +18,7 @@ from ..session import cut
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = 17
+SALTS = 64
 #: A run of characters that are neither space nor the control characters from tab to return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -72,7 +73,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     plan = renamed.join(ends, same, "left").select(
         "of", "source_size", "target", "whole", "part", F.coalesce("end.bucket", F.lit(1 << 12)).alias("last"), F.coalesce("end.before", F.lit(0)).alias("before")
     )
-    rows = slim.join(plan, same).drop("of")
+    # A source that holds most rows is dealt over as many tasks as there are salts.
+    salted = plan.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = slim.join(salted, same & (F.col("bucket") % SALTS == F.col("of_salt"))).drop("of", "of_salt")
     ordered = Window.partitionBy("source").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     left = F.col("part") - F.col("before") - (F.sum("size").over(ordered) - F.col("size"))
     inside = rows.where(F.col("bucket") == F.col("last")).withColumn("extra", F.greatest(F.lit(0), F.least("size", left)))
