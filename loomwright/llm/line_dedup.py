@@ -97,10 +97,14 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = cut(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))
     likely_hashes = keyed.join(shared, "key").groupBy("h1").agg(F.lit(True).alias("likely"))
     at = F.struct("doc_id", "place")
-    distinct = slim.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n"))
+    distinct = slim.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("n"))
     distinct = cut(distinct.join(likely_hashes, "h1", "left").where("rows > 1 OR likely"))
-    # The earliest place, only for the lines that still matter.
-    firsts = cut(slim.join(distinct.select("h1", "h2", "rows", "likely"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(at).alias("first"), F.min("n").alias("n"), F.max("rows").alias("rows"), F.max("likely").alias("likely")))
+    # The earliest place of the lines that still matter, looked up in the earliest document only: a join that also has
+    # doc_id among its keys spreads the copies of a common line.
+    places = slim.select("h1", "h2", "doc_id", "place").join(distinct, ["h1", "h2", "doc_id"]).groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.min("n").alias("n"), F.max("rows").alias("rows"), F.max("likely").alias("likely")
+    )
+    firsts = cut(places.select("h1", "h2", at.alias("first"), "n", "rows", "likely"))
     wanted = firsts.where("likely").select("h1", "first", "n", F.col("first.doc_id").alias("of_doc"), F.col("first.place").alias("of_place"))
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
