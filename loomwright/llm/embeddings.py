@@ -6,7 +6,8 @@ distances of the two halves (the multi-sequence order) up to an excess over its
 sampled vectors with made neighbours at the threshold, reaches the target recall. Vectors met in a
 visited cell are verified by their cosine in double precision.
 
-Only the codebooks come from a sample; all vectors are filed and all are queries. Cells are cut into
+Every length of vectors has codebooks of its own, or a single cell where there are few. Only the
+codebooks come from a sample; all vectors are filed and all are queries. Cells are cut into
 blocks of bounded size, and a block emits sums of links and a spanning forest, not its pairs.
 """
 
@@ -27,6 +28,8 @@ THRESHOLD = 0.98
 #: Vectors that the codebooks are fitted on, at most about.
 SAMPLE = 4096
 CENTROIDS = 32
+#: Most vectors of a length that are filed in a single cell, where every pair meets.
+FEW = 1024
 TARGET_RECALL = 0.9995
 #: Most filed vectors, and most queries, of a block.
 BLOCK = 1024
@@ -102,6 +105,11 @@ def fit(sample: np.ndarray, threshold: float = THRESHOLD, centroids: int = CENTR
     return MultiIndex(index.first, index.second, float(np.quantile(needed, recall)) + 1e-9)
 
 
+def single_cell(dims: int) -> MultiIndex:
+    """An index of one cell that holds, and shows every query, all vectors."""
+    return MultiIndex(np.zeros((1, dims // 2)), np.zeros((1, dims - dims // 2)), 0.0)
+
+
 def _matrix(column: pa.ListArray, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
@@ -145,58 +153,65 @@ def near_dups(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SA
     """vec_id, n_links, component_id and kept of every vector.
 
     Vectors link when their labels are equal and the cosine is at least ``threshold``. A vector that is
-    null, zero or holds null or non-finite components, or whose label is null, links with nothing, as
-    does one of another length than the sampled ones. Rows that repeat a vec_id count as one vector (the
-    smallest of them); a null vec_id gives one row with a null component. An empty table gives no rows;
-    further columns are ignored. Equal vectors of a label are compared once, with their number as weight.
+    null, zero or holds null or non-finite components, or whose label is null, links with nothing; vectors
+    of different lengths do not link. Rows that repeat a vec_id count as one vector (the smallest of
+    them); a null vec_id gives one row with a null component. An empty table gives no rows; further
+    columns are ignored. Equal vectors of a label are compared once, with their number as weight.
     """
     rows = vectors.select("vec_id", F.struct("label", "embedding").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v.*")
     good = rows.where(_usable())
-    known = good.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dims")).first()
+    lengths = good.groupBy(F.size("embedding").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()
     plain = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if not known.n:
-        return plain
-    good = good.where(F.size("embedding") == known.dims)
-    share = min(1.0, sample / known.n)
-    picked = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) <= int(share * 1_000_003)).select("vec_id", "embedding").toArrow().sort_by("vec_id")
-    index = fit(_matrix(picked["embedding"].combine_chunks(), known.dims), threshold) if picked.num_rows else None
-    if index is None:
+    if not lengths:
         return plain
-    spark = vectors.sparkSession
-    shared, dims = spark.sparkContext.broadcast(index), known.dims
+    indexes = {}
+    for dims, n in lengths:
+        if n <= FEW or dims < 2:
+            continue
+        share = min(1.0, sample / n)
+        some = good.where((F.size("embedding") == dims) & (F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) <= int(share * 1_000_003)))
+        picked = some.select("vec_id", "embedding").toArrow().sort_by("vec_id")
+        if picked.num_rows:
+            indexes[dims] = fit(_matrix(picked["embedding"].combine_chunks(), dims), threshold)
+    shared = vectors.sparkSession.sparkContext.broadcast(indexes)
     classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for start in range(0, big.num_rows, 2000):
-                batch = big.slice(start, 2000)
-                x = _unit(_matrix(batch.column("embedding"), dims))
-                row, cell = shared.value.visits(x)
-                own = shared.value.cells(x)
-                take = np.concatenate([np.arange(len(x)), row])
-                picked = batch.take(pa.array(take))
-                cells = pa.array(np.concatenate([own, cell]).astype(np.int32))
-                filed = pa.array(np.arange(len(take)) < len(x))
-                yield pa.RecordBatch.from_arrays([picked.column("label"), cells, filed, picked.column("rep"), picked.column("weight"), picked.column("embedding")], ["label", "cell", "filed", "rep", "weight", "embedding"])
+                mixed = big.slice(start, 2000)
+                sizes = mixed.column("embedding").value_lengths().to_numpy()
+                for dims in np.unique(sizes).tolist():
+                    batch = mixed.take(pa.array(np.flatnonzero(sizes == dims)))
+                    index = shared.value.get(dims) or single_cell(dims)
+                    x = _unit(_matrix(batch.column("embedding"), dims))
+                    row, cell = index.visits(x)
+                    own = index.cells(x)
+                    take = np.concatenate([np.arange(len(x)), row])
+                    picked = batch.take(pa.array(take))
+                    length = pa.array(np.full(len(take), dims, np.int32))
+                    cells = pa.array(np.concatenate([own, cell]).astype(np.int32))
+                    filed = pa.array(np.arange(len(take)) < len(x))
+                    yield pa.RecordBatch.from_arrays([picked.column("label"), length, cells, filed, picked.column("rep"), picked.column("weight"), picked.column("embedding")], ["label", "dims", "cell", "filed", "rep", "weight", "embedding"])
 
     kind = dict(classes.dtypes)
-    schema = f"label {kind['label']}, cell int, filed boolean, rep {kind['rep']}, weight long, embedding {kind['embedding']}"
+    schema = f"label {kind['label']}, dims int, cell int, filed boolean, rep {kind['rep']}, weight long, embedding {kind['embedding']}"
     placed = classes.mapInArrow(file, schema)
-    sizes = classes.select("label", "embedding", "rep", "weight").mapInArrow(file, schema).groupBy("label", "cell").agg(
+    sizes = classes.select("label", "embedding", "rep", "weight").mapInArrow(file, schema).groupBy("label", "dims", "cell").agg(
         F.count(F.when(F.col("filed"), 1)).alias("filed_rows"), F.count(F.when(~F.col("filed"), 1)).alias("queries")
     )
     sizes = sizes.where("filed_rows > 0 AND filed_rows + queries > 2").select(
-        F.col("label").alias("l"), F.col("cell").alias("c"), F.ceil(F.col("filed_rows") / block).cast("int").alias("parts"), F.ceil(F.col("queries") / block).cast("int").alias("turns")
+        F.col("label").alias("l"), F.col("dims").alias("d"), F.col("cell").alias("c"), F.ceil(F.col("filed_rows") / block).cast("int").alias("parts"), F.ceil(F.col("queries") / block).cast("int").alias("turns")
     )
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    dealt = placed.join(sizes, (F.col("label") == F.col("l")) & (F.col("cell") == F.col("c"))).select(
-        "label", "cell", "filed", "rep", "weight", "embedding",
+    dealt = placed.join(sizes, (F.col("label") == F.col("l")) & (F.col("dims") == F.col("d")) & (F.col("cell") == F.col("c"))).select(
+        "label", "dims", "cell", "filed", "rep", "weight", "embedding",
         F.when(F.col("filed"), F.array(own("parts"))).otherwise(every("parts")).alias("parts"),
         F.when(F.col("filed"), every("turns")).otherwise(F.array(own("turns"))).alias("turns"),
     )
     dealt = dealt.withColumn("part", F.explode("parts")).withColumn("turn", F.explode("turns")).drop("parts", "turns")
-    key = ["label", "cell", "part", "turn"]
+    key = ["label", "dims", "cell", "part", "turn"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
@@ -220,8 +235,12 @@ def near_dups(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SA
             n = bounds[-1]
             ids, weight = whole.column("rep").to_numpy()[:n], whole.column("weight").to_numpy()[:n]
             filed = whole.column("filed").to_numpy(zero_copy_only=False)[:n]
-            x = _unit(_matrix(whole.column("embedding").slice(0, n), dims))
-            found = [r for a, b in zip(bounds, bounds[1:], strict=False) if (r := _block(shared.value, threshold, ids[a:b], weight[a:b], filed[a:b], x[a:b]))]
+            found = []
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                dims = int(codes[1, a])
+                x = _unit(_matrix(whole.column("embedding").slice(a, b - a), dims))
+                if r := _block(shared.value.get(dims) or single_cell(dims), threshold, ids[a:b], weight[a:b], filed[a:b], x):
+                    found.append(r)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["id", "links", "root"])
 

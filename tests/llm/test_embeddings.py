@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from loomwright.llm import embeddings as emb
 
@@ -75,3 +76,16 @@ def test_odd_rows(spark):
     assert found(spark, []) == {}
     assert found(spark, [(1, None, 1)]) == {1: (0, 1)}
     assert found(spark, [(1, v, 1), (1, v, 1), (2, v, 1)]) == {1: (1, 1), 2: (1, 1)}
+
+
+@pytest.mark.parametrize("few", [0, 1024])
+def test_every_length_links(spark, monkeypatch, few):
+    monkeypatch.setattr(emb, "FEW", few, raising=False)
+    rows, want = [], {}
+    for dims, groups in ((64, 40), (65, 1), (9, 20), (2, 1), (1, 1)):
+        part = [(len(rows) + v, e, 0) for v, e, _ in made(groups, 0.01, dims, seed=dims)]
+        rows += part
+        want |= brute(part)
+    single = [(len(rows), [1.0] * 80, 0)]
+    assert found(spark, rows + single) == want | brute(single)
+    assert sum(n for n, _ in want.values()) > 400
