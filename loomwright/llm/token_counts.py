@@ -48,48 +48,78 @@ class Counter(dict):
 
 
 class SegmentTree:
-    """Sums over an array of counts that lets a range of leaves be replaced.
+    """Sums over an array of counts that lets ranges of leaves be replaced, again and again.
 
-    The leaves lie in blocks of ``width``; a block that changes is summed anew, and a binary tree over
-    the blocks carries the sums to the root. Blocks keep spare room, so that lengths may change.
+    The leaves lie in blocks of at most ``2 * width``; a block that changes is summed anew, and a binary
+    tree over the blocks carries the sums to the root. A second one carries the lengths of the blocks, so
+    that a leaf is found where it lies now. When a block would outgrow its bound, or most blocks have
+    run empty, all leaves are dealt anew.
     """
 
     def __init__(self, counts: np.ndarray, width: int = 64):
+        self.width = width
+        self._deal(counts)
+
+    def _deal(self, counts: np.ndarray) -> None:
+        width = self.width
         blocks = max(1, -(-len(counts) // width))
         self.blocks = [counts[i * width : (i + 1) * width] for i in range(blocks)]
         self.size = 1 << (blocks - 1).bit_length()
         padded = np.zeros(self.size * width, np.int64)
         padded[: len(counts)] = counts
-        level = padded.reshape(self.size, width).sum(1)
-        self.nodes = np.zeros(2 * self.size, np.int64)
+        self.nodes = self._tree(padded.reshape(self.size, width).sum(1))
+        self.lengths = self._tree(np.clip(len(counts) - width * np.arange(self.size), 0, width))
+
+    def _tree(self, level: np.ndarray) -> np.ndarray:
+        nodes = np.zeros(2 * self.size, np.int64)
         while True:
-            self.nodes[len(level) : 2 * len(level)] = level
+            nodes[len(level) : 2 * len(level)] = level
             if len(level) == 1:
-                break
+                return nodes
             level = level.reshape(-1, 2).sum(1)
-        self.width = width
 
     @property
     def total(self) -> int:
         return int(self.nodes[1])
 
-    def replace(self, start: int, stop: int, counts: np.ndarray) -> None:
-        """Put ``counts`` in place of the original leaves from start to stop (one edit per tree)."""
-        first, last = start // self.width, max(start, stop - 1) // self.width
-        first, last = min(first, len(self.blocks) - 1), min(last, len(self.blocks) - 1)
-        before, after = self.blocks[first][: start - first * self.width], self.blocks[last][stop - last * self.width :]
-        self.blocks[first] = np.concatenate([before, counts, after]) if first == last else np.concatenate([before, counts])
-        if first < last:
-            self.blocks[last] = after
-            for b in range(first + 1, last):
-                self.blocks[b] = counts[:0]
-        for b in {first, last, *range(first + 1, last)}:
-            node = self.size + b
-            delta = int(self.blocks[b].sum()) - int(self.nodes[node])
+    def __len__(self) -> int:
+        return int(self.lengths[1])
+
+    def _find(self, leaf: int) -> tuple[int, int]:
+        """The block of a leaf and its place there; past all leaves, the end of the last block."""
+        if leaf >= len(self):
+            return len(self.blocks) - 1, len(self.blocks[-1])
+        node = 1
+        while node < self.size:
+            node *= 2
+            if leaf >= self.lengths[node]:
+                leaf -= int(self.lengths[node])
+                node += 1
+        return node - self.size, leaf
+
+    def _put(self, block: int, counts: np.ndarray) -> None:
+        self.blocks[block] = counts
+        for nodes, value in ((self.nodes, int(counts.sum())), (self.lengths, len(counts))):
+            node = self.size + block
+            delta = value - int(nodes[node])
             while node and delta:
-                self.nodes[node] += delta
+                nodes[node] += delta
                 node >>= 1
 
+    def replace(self, start: int, stop: int, counts: np.ndarray) -> None:
+        """Put ``counts`` in place of the present leaves from start to stop."""
+        first, begin = self._find(start)
+        last, end = self._find(stop - 1) if stop > start else (first, begin - 1)
+        before, after = self.blocks[first][:begin], self.blocks[last][end + 1 :]
+        if len(before) + len(counts) + len(after) > 2 * self.width:
+            self._deal(np.concatenate([*self.blocks[:first], before, counts, after, *self.blocks[last + 1 :]]))
+            return
+        self._put(first, np.concatenate([before, counts, after]))
+        for b in range(first + 1, last + 1):
+            self._put(b, counts[:0])
+        if len(self) * 4 < len(self.blocks) * self.width and len(self.blocks) > 1:
+            self._deal(np.concatenate(self.blocks))
+
 
 class CountedText:
     """A text with the boundaries and token counts of its pre-tokens."""

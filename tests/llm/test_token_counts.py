@@ -69,3 +69,43 @@ def test_word_vocabulary_matches_the_tokenizer():
     for _ in range(5000):
         text = "".join(rng.choice(alphabet if rng.random() < 0.5 else "abc 's1. ") for _ in range(rng.randint(0, 30)))
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == bpe.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_many_edits_of_a_long_text(counter):
+    rng = random.Random(8)
+    alphabet = "ab 's1  \n\n\t.!'treé 日"
+    make = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    for length in (0, 300, 3000):
+        counted = tc.CountedText(make(length), counter)
+        for k in range(250):
+            a = rng.randint(0, len(counted.text))
+            b = rng.randint(a, min(len(counted.text), a + rng.choice([0, 3, 12, 900 if k % 20 == 0 else 5])))
+            counted.edit(a, b, make(rng.choice([0, 2, 9, 700 if k % 25 == 0 else 20])))
+            assert counted.tokens == len(counter.encoding.encode_ordinary(counted.text))
+
+
+def test_segment_tree_after_many_edits():
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(60):
+        values = [rng.randint(0, 9) for _ in range(rng.randint(0, 50))]
+        tree = tc.SegmentTree(np.array(values, np.int64), width=4)
+        for _ in range(40):
+            a = rng.randint(0, len(values))
+            b = rng.randint(a, len(values))
+            b = b if rng.random() < 0.2 else min(b, a + 3)
+            new = [rng.randint(0, 9) for _ in range(rng.choice([0, 1, 2, 5, 30]))]
+            tree.replace(a, b, np.array(new, np.int64))
+            values[a:b] = new
+            assert tree.total == sum(values)
+            assert np.concatenate(tree.blocks).tolist() == values
+
+
+def test_leaf_behind_a_block_that_grew():
+    import numpy as np
+
+    tree = tc.SegmentTree(np.arange(200), width=64)
+    tree.replace(0, 0, np.array([7]))
+    tree.replace(64, 65, np.array([1000]))
+    assert tree.total == sum(range(200)) + 7 - 63 + 1000
