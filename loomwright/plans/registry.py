@@ -83,6 +83,14 @@ def _nation_edges(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).distinct()
 
 
+def _trade_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Links both ways between customers and the suppliers (1,000,000,000 + key) of all their lines."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("customer"))
+    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("customer", (F.col("l_suppkey").cast("long") + 1_000_000_000).alias("supplier")).distinct()
+    return rows.select(F.explode(F.array(F.struct(F.col("customer").alias("src"), F.col("supplier").alias("dst")), F.struct(F.col("supplier").alias("src"), F.col("customer").alias("dst")))).alias("e")).select("e.*")
+
+
 def pagerank_10(spark: SparkSession, d: str) -> DataFrame:
     return adjacency_pagerank(_nation_edges(spark, d), PAGERANK_ITERATIONS).select("id", F.round("rank", 6).alias("rank"))
 
@@ -91,6 +99,14 @@ def pagerank_reset(spark: SparkSession, d: str) -> DataFrame:
     return static_pagerank(_nation_edges(spark, d), PAGERANK_ITERATIONS, 0.15).select("id", F.round("rank", 6).alias("rank"))
 
 
+def pagerank_10_all(spark: SparkSession, d: str) -> DataFrame:
+    return adjacency_pagerank(_trade_edges(spark, d), PAGERANK_ITERATIONS).select("id", F.round("rank", 6).alias("rank"))
+
+
+def pagerank_reset_all(spark: SparkSession, d: str) -> DataFrame:
+    return static_pagerank(_trade_edges(spark, d), PAGERANK_ITERATIONS, 0.15).select("id", F.round("rank", 6).alias("rank"))
+
+
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount >= 0.09 AND l_tax >= 0.06")
     edges = line.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
@@ -103,15 +119,30 @@ def connected_components_all(spark: SparkSession, d: str) -> DataFrame:
     return components_of(edges)
 
 
-def adjacency_edges(spark: SparkSession, d: str) -> DataFrame:
-    rows = _nation_edges(spark, d).groupBy("src").agg(F.collect_list("dst").alias("dsts"))
+def _through_adjacency(edges: DataFrame) -> DataFrame:
+    rows = edges.groupBy("src").agg(F.collect_list("dst").alias("dsts"))
     lines = rows.select(F.concat_ws(" ", F.col("src").cast("string"), F.array_join(F.col("dsts").cast("array<string>"), " ")).alias("value"))
     return text.adjacency_edges(text.adjacency(lines))
 
 
+def adjacency_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _through_adjacency(_nation_edges(spark, d))
+
+
+def adjacency_edges_all(spark: SparkSession, d: str) -> DataFrame:
+    return _through_adjacency(_trade_edges(spark, d))
+
+
+def _through_edge_list(edges: DataFrame) -> DataFrame:
+    return text.edge_list(edges.select(F.concat_ws("\t", F.col("src").cast("string"), F.col("dst").cast("string")).alias("value")))
+
+
 def edge_list(spark: SparkSession, d: str) -> DataFrame:
-    lines = _nation_edges(spark, d).select(F.concat_ws("\t", F.col("src").cast("string"), F.col("dst").cast("string")).alias("value"))
-    return text.edge_list(lines)
+    return _through_edge_list(_nation_edges(spark, d))
+
+
+def edge_list_all(spark: SparkSession, d: str) -> DataFrame:
+    return _through_edge_list(_trade_edges(spark, d))
 
 
 def byte_count_per_key(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         aggregation_revenue, join_rankings_visits, item_frequency, frequent_itemsets, fpgrowth_itemsets, projected_itemsets, parsed_baskets, bad_token_count,
-        pagerank_10, pagerank_reset, connected_components, connected_components_all, adjacency_edges, edge_list, byte_count_per_key, key_frequency_sorted, records_per_key_cdf, dedup_by_total,
+        pagerank_10, pagerank_10_all, pagerank_reset, pagerank_reset_all, connected_components, connected_components_all, adjacency_edges, adjacency_edges_all, edge_list, edge_list_all, byte_count_per_key, key_frequency_sorted, records_per_key_cdf, dedup_by_total,
         sample_rows, task_stats_skew, task_stats_corr, task_stats_percentile, stage_rollup, executor_gc, empty_tasks, spill_partitions, gc_partitions, imbalance_source, iterative_regular_class,
     )
 }

@@ -4,7 +4,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from loomwright.plans.registry import QUERIES
+from test_graph import brute_pagerank
+
+from loomwright.plans.registry import PAGERANK_ITERATIONS, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +45,22 @@ def test_components_of_all_lines(spark, tmp_path, made):
     want = brute_components(lines_of(sf_dir))
     got = QUERIES["connected_components_all"](spark, sf_dir).collect()
     assert len(got) == len(want) and {r["id"]: r["component"] for r in got} == want
+
+
+def trade_of(sf_dir):
+    orders = pq.read_table(f"{sf_dir}/orders.parquet", columns=["o_orderkey", "o_custkey"])
+    customer = dict(zip(orders["o_orderkey"].to_pylist(), orders["o_custkey"].to_pylist(), strict=True))
+    t = pq.read_table(f"{sf_dir}/lineitem.parquet", columns=["l_orderkey", "l_suppkey"])
+    pairs = {(customer[o], 1_000_000_000 + s) for o, s in zip(t["l_orderkey"].to_pylist(), t["l_suppkey"].to_pylist(), strict=True) if o in customer}
+    return sorted(pairs | {(b, a) for a, b in pairs})
+
+
+@pytest.mark.parametrize("name", ["adjacency_edges_all", "edge_list_all"])
+def test_edges_of_all_lines(spark, name):
+    assert sorted((r["src"], r["dst"]) for r in QUERIES[name](spark, SF).collect()) == trade_of(SF)
+
+
+@pytest.mark.parametrize("name", ["pagerank_10_all", "pagerank_reset_all"])
+def test_ranks_of_all_lines(spark, name):
+    got = {r["id"]: r["rank"] for r in QUERIES[name](spark, SF).collect()}
+    assert got == pytest.approx(brute_pagerank(trade_of(SF), PAGERANK_ITERATIONS, name == "pagerank_reset_all"), abs=2e-6)
