@@ -19,8 +19,8 @@ from ._text import grams, mix
 RULES = (
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
-    ("block", "net/de/"),
-    ("allow", "example.net/de/8"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
 

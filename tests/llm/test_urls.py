@@ -14,8 +14,8 @@ def judged(spark, rows, **options):
         ("http://A.Example.COM/en/5?x=/y#z", "a.example.com", "/en/5", "com/en/", "block"),
         ("http://example.com/en/77", "example.com", "/en/77", "example.com/en/7", "allow"),
         ("https://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"),
-        ("x://net/de/1", "net", "/de/1", "net/de/", "block"),
-        ("http://m.example.net/de/8", "m.example.net", "/de/8", "example.net/de/8", "allow"),
+        ("x://net/de/1", "net", "/de/1", "net/de/", "allow"),
+        ("http://m.example.net/de/8", "m.example.net", "/de/8", "example.net/de/8", "block"),
         ("http://a.org/es/", "a.org", "/es/", "org/es/", "block"),
         ("http://a.org/ES/", "a.org", "/ES/", None, None),
         ("http://É.org?q=://b/c", "É.org", "", None, None),
