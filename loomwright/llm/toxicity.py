@@ -1,8 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the sets of its hashed words, leading letters of words (inflected forms share
-them), word pairs and pairs with one word between them. FTRL-proximal keeps a learning rate per coordinate and an L1 threshold, so most weights are
-exactly zero; only the others are broadcast to the scoring tasks.
+them), word pairs and pairs with one word between them. FTRL-proximal keeps a learning rate per
+coordinate and an L1 threshold, so most weights are exactly zero; only the others are broadcast to the
+scoring tasks.
 """
 
 from __future__ import annotations
@@ -69,7 +70,10 @@ class Model:
 def ftrl(
     rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.0, epochs: int = 5, seed: int = 7
 ) -> Model:
-    """Fit by FTRL-proximal: one example at a time, a rate per coordinate, L1 by thresholding z."""
+    """Fit by FTRL-proximal: one example at a time, a rate per coordinate, L1 by thresholding z.
+
+    ``rows`` holds the distinct features of each example, ``labels`` 0 or 1.
+    """
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -80,14 +84,13 @@ def ftrl(
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
-            i = np.append(rows[k], size)
+            i = np.append(rows[k], np.int32(size))
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[k]
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
             n[i] += g * g
-    w = weights(np.arange(size + 1))
-    index = np.flatnonzero(w[:size])
-    return Model(index, w[index], float(w[size]))
+    index = np.flatnonzero(np.abs(z[:size]) > l1)
+    return Model(index, weights(index), float(weights(np.array([size]))[0]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -95,19 +98,25 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Train on labelled documents that are not held out.
+def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, y, text) of at most about ``train_rows`` labelled documents that are not held out.
 
     ``labels`` has doc_id and toxic; rows with a null in either are ignored, and a document labelled
-    twice is toxic if any label says so. At most about ``train_rows`` documents are used, chosen by a
-    hash of doc_id, so that the sample (and the broadcast of its ids) is bounded at any input size.
-    Without rows to learn from, every score is one half.
+    twice is toxic if any label says so. A hash of doc_id picks the rows, so that the sample, and the
+    broadcast of its ids, is bounded at any input size.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    n = known.count()
-    share = min(1.0, train_rows / max(n, 1))
+    share = min(1.0, train_rows / max(known.count(), 1))
     picked = known.where((F.xxhash64("doc_id") % 1_000_003 + 1_000_003) % 1_000_003 < int(share * 1_000_003))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    """Train on the documents that ``training_rows`` picks, in one task.
+
+    Only the weights that are not zero reach the driver. Without rows to learn from, every score is one half.
+    """
+    rows = training_rows(docs, labels, train_rows)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -120,9 +129,21 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
                 ["doc_id", "y", "features"],
             )
 
-    table = rows.mapInArrow(encode, "doc_id long, y int, features array<int>").toArrow().sort_by("doc_id")
-    features = [x.values.to_numpy() for x in table["features"]]
-    return ftrl([f.astype(np.int64) for f in features], table["y"].to_numpy())
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        ids = table["doc_id"].to_numpy()
+        features = [x.values.to_numpy() for x in table["features"]]
+        y = table["y"].to_numpy()
+        order = sorted(range(len(ids)), key=lambda k: (ids[k], features[k].tobytes(), y[k]))
+        model = ftrl([features[k] for k in order], y[order])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(model.index, -1), pa.int64()), pa.array(np.append(model.weight, model.bias))], ["index", "weight"])
+
+    found = rows.mapInArrow(encode, "doc_id long, y int, features array<int>").repartition(1).mapInArrow(train, "index long, weight double").toArrow()
+    index, weight = found["index"].to_numpy(), found["weight"].to_numpy()
+    return Model(index[:-1], weight[:-1], float(weight[-1])) if len(index) else Model(index, weight, 0.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -46,14 +47,35 @@ def test_held_out_labels_are_not_used(spark, labelled):
 
 def test_training_sample_is_bounded(spark, labelled):
     docs, labels, _ = labelled
-    seen = []
-    real = tox.ftrl
-    tox.ftrl = lambda rows, y, **k: seen.append(len(rows)) or real(rows, y, **k)
-    try:
-        tox.fit(docs, labels, train_rows=100)
-    finally:
-        tox.ftrl = real
-    assert 50 < seen[0] < 160
+    rows = tox.training_rows(docs, labels, train_rows=100).collect()
+    assert 50 < len(rows) < 160 and not any(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows)
+
+
+def test_model_is_that_of_one_pass_after_another(spark, labelled):
+    """FTRL-proximal computed anew, a coordinate at a time, from the same sample in the same order."""
+    docs, labels, _ = labelled
+    model = tox.fit(docs, labels, train_rows=150)
+    rows = sorted((r["doc_id"], r["y"], r["text"]) for r in tox.training_rows(docs, labels, 150).collect())
+    z, n = {}, {}
+    bias = 1 << tox.BITS
+
+    def weight(i):
+        zi, cut = z.get(i, 0.0), 0.0 if i == bias else 6.0
+        return 0.0 if abs(zi) <= cut else (math.copysign(cut, zi) - zi) / (1.0 + math.sqrt(n.get(i, 0.0)))
+
+    sets = [sorted(set(tox._features([t], tox.WordHash())[1].tolist())) for _, _, t in rows]
+    order = np.random.default_rng(7)
+    for _ in range(5):
+        for k in order.permutation(len(rows)):
+            w = {i: weight(i) for i in (*sets[k], bias)}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - rows[k][1]
+            for i in w:
+                was = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) * w[i]
+                n[i] = was + g * g
+    want = {i: weight(i) for i in z if i != bias and weight(i) != 0}
+    assert len(want) > 3 and set(model.index.tolist()) == set(want) and abs(model.bias - weight(bias)) < 1e-9
+    assert all(abs(w - want[i]) < 1e-9 for i, w in zip(model.index.tolist(), model.weight.tolist(), strict=True))
 
 
 def test_odd_rows(spark, labelled):
