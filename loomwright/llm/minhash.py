@@ -10,7 +10,8 @@ their weighted Jaccard similarity.
 Equal texts form one class first. Classes that share a band are candidates. Inside a bucket no pairs
 are built: all members are verified against a hub, then against the member nearest to the hub. Members
 that are not in their hub's component after that are compared with all members of the buckets of that
-component, in blocks of bounded size that emit links only.
+component, in blocks of about a given number of rows and of bytes that emit links only. Shingles are
+held and verified as 64-bit hashes (55 bits of them where pairs are counted together).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph.components import connected_components
@@ -32,10 +33,11 @@ SHINGLE = 5
 THRESHOLD = 0.8
 COMPONENTS = 64
 BANDS = 16
-#: Most class ids that are broadcast to pick their texts; more are joined by a shuffle.
+#: Most rows of three integers that are broadcast to pick texts (about 40 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Sides of a block in which members outside a component meet those around it.
+#: Sides of a block in which members outside a component meet those around it: rows, and bytes of their bags.
 BLOCK = (256, 1024)
+BLOCK_BYTES = (8 << 20, 32 << 20)
 
 _U = np.uint64
 
@@ -100,8 +102,17 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text); the key tells rows of one doc_id with different texts apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
+def text_key() -> Column:
+    return F.xxhash64("text")
+
+
 def signatures(docs: DataFrame, components: int = COMPONENTS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, d1, d2, keys): a 128-bit digest of the words and the band keys of each text that is not null."""
+    """(doc_id, text_key, d1, d2, keys): a 128-bit digest of the words and the band keys of each text that is not null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -115,13 +126,13 @@ def signatures(docs: DataFrame, components: int = COMPONENTS, bands: int = BANDS
             digest = np.array([(d & (1 << 64) - 1, d >> 64) for d in (xxhash.xxh3_128_intdigest(" ".join(t.lower().split()).encode("utf-8", "surrogatepass")) for t in texts)], np.uint64).reshape(n, 2).view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))])
             keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band_keys(sig, bands)[has].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), keys], ["doc_id", "d1", "d2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(digest[:, 0]), pa.array(digest[:, 1]), keys], ["doc_id", "text_key", "d1", "d2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id long, d1 long, d2 long, keys array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, text_key long, d1 long, d2 long, keys array<long>")
 
 
-def bags(docs: DataFrame) -> DataFrame:
-    """(id, bag): the sorted 32-bit hashes of a text's shingles, numbered by occurrence, as bytes.
+def bags(texts: DataFrame) -> DataFrame:
+    """(id, bag) from (id, text): the 64-bit hashes of a text's shingles, numbered by occurrence, as bytes.
 
     The overlap of two bags as sets is the overlap of the shingle multisets.
     """
@@ -135,12 +146,11 @@ def bags(docs: DataFrame) -> DataFrame:
             index = np.arange(len(h))
             fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])[: len(h)]
             number = index - np.maximum.accumulate(np.where(fresh, index, 0)) if len(h) else index
-            code = np.sort((doc.astype(np.uint64) << _U(32)) | (mix(h + GOLD * number.astype(np.uint64)) >> _U(32)))
-            ends = np.searchsorted(code, np.arange(len(texts) + 1, dtype=np.uint64) << _U(32))
-            low = (code & _U(0xFFFFFFFF)).astype("<u4")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([low[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["id", "bag"])
+            code = mix(h + GOLD * number.astype(np.uint64)).astype("<u8")
+            ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([code[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["id", "bag"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "id long, bag binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, bag binary")
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +161,12 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = batch.num_rows
             parts, sizes = [], []
             for name in ("bag_a", "bag_b"):
-                arrays = [np.frombuffer(v.as_buffer(), "<u4") for v in batch.column(name)]
+                arrays = [np.frombuffer(v.as_buffer(), "<u8") for v in batch.column(name)]
                 size = np.fromiter(map(len, arrays), np.int64, n)
-                parts.append((np.repeat(np.arange(n, dtype=np.uint64), size) << _U(32)) | np.concatenate(arrays))
+                parts.append((np.repeat(np.arange(n, dtype=np.uint64), size) << _U(55)) | (np.concatenate(arrays) >> _U(9)))
                 sizes.append(size)
             code = np.sort(np.concatenate(parts))
-            both = np.bincount((code[1:][code[1:] == code[:-1]] >> _U(32)).astype(np.int64), minlength=n)
+            both = np.bincount((code[1:][code[1:] == code[:-1]] >> _U(55)).astype(np.int64), minlength=n)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both / np.maximum(sizes[0] + sizes[1] - both, 1))], ["a", "b", "j"])
 
 
@@ -167,23 +177,23 @@ def verify(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(_overlap, "a long, b long, j double")
 
 
-def near_dups(docs: DataFrame, threshold: float = THRESHOLD, components: int = COMPONENTS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, class_id, kept) of every row; class_id is the least doc_id of its group of near-duplicates.
+def near_rows(docs: DataFrame, threshold: float = THRESHOLD, components: int = COMPONENTS, bands: int = BANDS) -> DataFrame:
+    """(doc_id, text_key, class_id, kept) of every row; see ``near_dups``.
 
-    Texts are compared by their words in lower case. Texts without words are equal to each other. A null
-    text is in no group (class_id is its doc_id); a null doc_id has a null class_id and is kept; rows that
-    repeat a doc_id with an equal text are the same document and are kept alike. An empty table gives
-    no rows; further columns are ignored.
+    ``text_key`` is null for rows whose doc_id or text is null.
     """
     signed = cut(signatures(docs, components, bands))
-    classes = cut(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")))
+    classes = signed.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key", "keys")).alias("least"))
+    classes = cut(classes.select("d1", "d2", F.monotonically_increasing_id().alias("rep"), "least.*"))
     filed = classes.select("rep", F.explode("keys").alias("bucket"))
     # Sums that are joined back come from checkpoints: both sides are then shuffled for the join, and a hot key can be split.
     sizes = cut(filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).where("n > 1"))
     members = cut(filed.join(sizes, "bucket"))
-    wanted = members.select(F.col("rep").alias("of")).distinct()
+    wanted = members.select("rep").distinct().join(classes, "rep").select(F.col("rep").alias("id"), F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"))
+    wanted = cut(wanted)
     few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("of"), "left_semi")
+    texts = _rows(docs).join(F.broadcast(wanted) if few else wanted, (F.col("doc_id") == F.col("of_doc")) & (F.col("text_key") == F.col("of_text")))
+    # Rows that repeat a document give its bag again.
     contents = cut(bags(texts).dropDuplicates(["id"]))
 
     by_hub = cut(verify(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), contents))
@@ -200,16 +210,59 @@ def near_dups(docs: DataFrame, threshold: float = THRESHOLD, components: int = C
     around = cut(named.join(homes, F.col("bucket") == F.col("of")).groupBy("home", "rep").agg(F.max(F.col("component") != F.col("home")).alias("apart")))
     last = cut(_meet(around, contents, threshold))
     found = connected_components(linked.union(last)) if last.limit(1).count() else found
-    classes = classes.join(found, F.col("rep") == F.col("id"), "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("class_id"))
-    named = signed.join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).select("doc_id", "class_id")
-    lone = docs.where("doc_id IS NULL OR text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"))
-    return named.union(lone).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
+    # A class that is in no component stands for itself; the others take the least document of their component.
+    heads = classes.join(found, F.col("rep") == F.col("id")).groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("head"))
+    heads = found.join(heads, "component").select("id", "head")
+    classes = classes.join(heads, F.col("rep") == F.col("id"), "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("head", F.struct("doc_id", "text_key")).alias("head"))
+    named = signed.join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")))
+    named = named.select("doc_id", "text_key", F.col("head.doc_id").alias("class_id"), (F.struct("doc_id", "text_key") == F.col("head")).alias("kept"))
+    lone = docs.where("doc_id IS NULL OR text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    return named.union(lone.select("doc_id", F.lit(None).cast("long"), "doc_id", F.lit(True)))
+
+
+def near_dups(docs: DataFrame, threshold: float = THRESHOLD, components: int = COMPONENTS, bands: int = BANDS) -> DataFrame:
+    """(doc_id, class_id, kept) of every row; class_id is the least doc_id of its group of near-duplicates.
 
-def _meet(around: DataFrame, contents: DataFrame, threshold: float, block: tuple[int, int] = BLOCK) -> DataFrame:
-    """Links (src, dst) between members apart from a home component and all members around it."""
-    sizes = cut(around.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("apart"), 1)).alias("apart_n")).where("apart_n > 0 AND n > 2"))
-    sizes = sizes.select(F.col("home").alias("h"), F.ceil(F.col("apart_n") / block[0]).cast("int").alias("rows"), F.ceil(F.col("n") / block[1]).cast("int").alias("cols"))
+    Texts are compared by their words in lower case. Texts without words are equal to each other. A null
+    text is in no group (class_id is its doc_id); a null doc_id has a null class_id and is kept. Rows of
+    one doc_id with different texts are documents of their own, of which a group keeps one; rows that
+    repeat a doc_id with an equal text are the same document and are kept alike. An empty table gives
+    no rows; further columns are ignored.
+    """
+    return near_rows(docs, threshold, components, bands).select("doc_id", "class_id", "kept")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: one row of each group stays.
+
+    That is a row of the group's least (doc_id, text key). Rows with a null doc_id or text stay. Column
+    names may be any.
+    """
+    rows = near_rows(docs.select("doc_id", "text"), threshold).where("text_key IS NOT NULL")
+    fate = cut(rows.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 OR NOT kept"))
+    inner = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    text = F.col(inner["text"])
+    marked = docs.toDF(*inner.values()).withColumn("key", F.xxhash64(text))
+    same = (F.col(inner["doc_id"]).cast("long") == F.col("doc_id")) & (F.col("key") == F.col("text_key")) & text.isNotNull()
+    stay = marked.join(fate, same, "left_anti")
+    repeated = fate.where("kept")
+    if repeated.limit(1).count():
+        stay = stay.union(marked.join(repeated, same, "left_semi").dropDuplicates([inner["doc_id"], "key"]))
+    return stay.select(*inner.values()).toDF(*inner)
+
+
+def _meet(around: DataFrame, contents: DataFrame, threshold: float, block: tuple[int, int] = BLOCK, block_bytes: tuple[int, int] = BLOCK_BYTES) -> DataFrame:
+    """Links (src, dst) between members apart from a home component and all members around it.
+
+    A home is cut into so many blocks that their sides hold about ``block`` members and ``block_bytes`` of
+    bags; members are dealt to them by a hash.
+    """
+    weighed = around.join(contents.select(F.col("id"), F.octet_length("bag").alias("bytes")), F.col("rep") == F.col("id"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count(F.when(F.col("apart"), 1)).alias("apart_n"), F.sum(F.when(F.col("apart"), F.col("bytes")).otherwise(0)).alias("apart_bytes")]
+    sizes = cut(weighed.groupBy("home").agg(*sums).where("apart_n > 0 AND n > 2"))
+    parts = lambda n, at, size: F.greatest(F.ceil(F.col(n) / block[at]), F.ceil(F.col(size) / block_bytes[at]), F.lit(1)).cast("int")
+    sizes = sizes.select(F.col("home").alias("h"), parts("apart_n", 0, "apart_bytes").alias("rows"), parts("n", 1, "bytes").alias("cols"))
     own = lambda n: F.array(F.pmod(F.xxhash64("rep"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     placed = around.join(sizes, F.col("home") == F.col("h"))
@@ -231,7 +284,7 @@ def _links(group: pa.RecordBatch, threshold: float, width: int = 2048) -> tuple[
     """A spanning forest of the links between row and column members whose bags overlap by ``threshold``."""
     is_row = group.column("is_row").to_numpy(zero_copy_only=False)
     ids = group.column("rep").to_numpy()
-    bags_ = [np.frombuffer(v.as_buffer(), "<u4") for v in group.column("bag")]
+    bags_ = [np.frombuffer(v.as_buffer(), "<u8") for v in group.column("bag")]
     rows, cols = np.flatnonzero(is_row), np.flatnonzero(~is_row)
     if not len(rows) or not len(cols):
         return None

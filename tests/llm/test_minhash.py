@@ -82,7 +82,7 @@ def test_large_component_in_small_blocks(spark, monkeypatch):
             copy[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
         rows.append((k, " ".join(copy)))
     monkeypatch.setattr(minhash, "BLOCK", (4, 8))
-    monkeypatch.setattr(minhash._meet, "__defaults__", ((4, 8),))
+    monkeypatch.setattr(minhash._meet, "__defaults__", ((4, 8), (3000, 4000)))
     monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
     assert found(spark, rows) == brute(rows)
 
@@ -94,3 +94,26 @@ def test_odd_rows(spark):
     out = minhash.near_dups(docs_of(spark, [(None, "x"), (3, "y"), (3, "y")])).collect()
     assert sorted((r["doc_id"] or -1, r["class_id"], r["kept"]) for r in out) == [(-1, None, True), (3, 3, True), (3, 3, True)]
     assert minhash.near_dups(docs_of(spark, [])).count() == 0
+
+
+def test_rows_of_one_doc_id_are_documents_of_their_own(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (5, long), (5, "a unique text of its own that nothing else comes near"), (7, long + " more"), (7, long + " other"), (9, "x"), (9, "x")]
+    out = minhash.near_dups(docs_of(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["kept"]) for r in out) == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 1, False), (7, 1, False), (9, 9, True), (9, 9, True)]
+    kept = minhash.keep_one(docs_of(spark, rows))
+    assert kept.columns == ["doc_id", "text", "class_id", "kept"]
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, long), (5, rows[2][1]), (9, "x")]
+    twins = [(3, long + " a"), (3, long + " b"), (None, "x"), (None, "x"), (4, None), (4, None)]
+    assert sorted(str(r["doc_id"]) for r in minhash.keep_one(docs_of(spark, twins)).collect()) == ["3", "4", "4", "None", "None"]
+
+
+def test_clashing_names(spark):
+    names = ["key", "_0", "text_key", "n", "rep", "id"]
+    docs = spark.createDataFrame([(*range(6), 1, "a b c"), (*range(6), 2, "A b c")], ", ".join(f"{n} long" for n in names) + ", doc_id long, text string")
+    assert [tuple(r) for r in minhash.keep_one(docs).collect()] == [(0, 1, 2, 3, 4, 5, 1, "a b c")]
+
+
+def test_shingles_are_told_apart_by_64_bits(spark):
+    bags = [r["bag"] for r in minhash.bags(spark.createDataFrame([(1, "a b c d e f"), (2, "a a a a a a")], "id long, text string")).collect()]
+    assert [len(b) for b in bags] == [16, 16] and len({b[k : k + 8] for b in bags for k in (0, 8)}) == 4
