@@ -3,16 +3,19 @@
 Each half of the unit vectors has a codebook of its own; a pair of centroids is a cell of the product
 grid, and every vector is filed in its nearest cell. A query visits cells in the order of the summed
 distances of the two halves (the multi-sequence order) up to an excess over its own cell that, on
-sampled vectors with made neighbours at the threshold, reaches the target recall. Vectors met in a
+sampled vectors with made neighbours at the threshold, reaches the target recall. Of two vectors the one
+in the lower cell visits the other, so only cells from the own one on are visited. Vectors met in a
 visited cell are verified by their cosine in double precision.
 
-Every length of vectors has codebooks of its own, or a single cell where there are few. Only the
-codebooks come from a sample; all vectors are filed and all are queries. Cells are cut into
-blocks of bounded size, and a block emits sums of links and a spanning forest, not its pairs.
+Every length of vectors has codebooks of its own, of a size that follows their number, or a single cell
+where there are few. Only the codebooks come from a sample; all vectors are filed and all are queries.
+Cells are cut into blocks of bounded size, and a block emits sums of links and a spanning forest, not its
+pairs. Blocks are planned on codes alone; vectors are joined and shuffled once, to the blocks they need.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,15 +26,17 @@ from pyspark.sql import functions as F
 
 from ..graph.components import connected_components
 from ..session import cut
+from ._blocks import by_key
 
 THRESHOLD = 0.98
 #: Vectors that the codebooks are fitted on, at most about.
 SAMPLE = 4096
-CENTROIDS = 32
+#: Most centroids of a half; there are as many as give cells of about ``BLOCK`` vectors, a power of two.
+CENTROIDS = 128
 #: Most vectors of a length that are filed in a single cell, where every pair meets.
 FEW = 1024
 TARGET_RECALL = 0.9995
-#: Most filed vectors, and most queries, of a block.
+#: Filed vectors, and queries, of a block, about; a hash deals them.
 BLOCK = 1024
 
 
@@ -74,15 +79,18 @@ class MultiIndex:
         return a - a.min(1)[:, None], b - b.min(1)[:, None]
 
     def visits(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of the visited cells, each row's nearest first."""
+        """(row, cell) of the cells within reach of each row from its own one on, nearest first."""
         a, b = self.excess(unit)
+        own = a.argmin(1) * len(self.second) + b.argmin(1)
         # Only centroids that fit on their own can be part of a visited pair.
         row, i = np.nonzero(a <= self.reach)
         fits = a[row, i][:, None] + b[row] <= self.reach
         k, j = np.nonzero(fits)
         row, i = row[k], i[k]
         order = np.lexsort((a[row, i] + b[row, j], row))
-        return row[order], (i * len(self.second) + j)[order]
+        row, cell = row[order], (i * len(self.second) + j)[order]
+        ahead = cell >= own[row]
+        return row[ahead], cell[ahead]
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         a, b = self.excess(unit)
@@ -114,8 +122,17 @@ def _matrix(column: pa.ListArray, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
-def _block(index: MultiIndex, threshold: float, ids: np.ndarray, weight: np.ndarray, filed: np.ndarray, x: np.ndarray):
-    """(id, links, root) of the linked vectors of one block of filed vectors and queries."""
+def centroids_for(n: int) -> int:
+    """Centroids of a half for ``n`` vectors."""
+    wanted = max(2, math.isqrt(max(0, n - 1) // BLOCK) + 1)
+    return min(CENTROIDS, 1 << (wanted - 1).bit_length())
+
+
+def _block(threshold: float, ids: np.ndarray, weight: np.ndarray, filed: np.ndarray, own: np.ndarray, x: np.ndarray):
+    """(id, links, root) of the linked vectors of one block of filed vectors and queries.
+
+    A query of the cell itself (``own``) is met from both sides; for others the block counts both ends.
+    """
     m, p = np.flatnonzero(filed), np.flatnonzero(~filed)
     if not len(m) or not len(p):
         return None
@@ -126,14 +143,11 @@ def _block(index: MultiIndex, threshold: float, ids: np.ndarray, weight: np.ndar
         return None
     links = links[np.ix_(rows, cols)]
     p, m = p[rows], m[cols]
-    a, b = index.excess(x[m])
-    cell = index.cells(x[p])
-    met = a[:, cell // len(index.second)] + b[:, cell % len(index.second)] <= index.reach
     names = np.unique(np.concatenate([ids[p], ids[m]]))
     at_p, at_m = np.searchsorted(names, ids[p]), np.searchsorted(names, ids[m])
     count = np.zeros(len(names), np.int64)
     np.add.at(count, at_p, links @ weight[m])
-    np.add.at(count, at_m, (links.T & ~met) @ weight[p])
+    np.add.at(count, at_m, (links & ~own[p][:, None]).T @ weight[p])
     root = np.arange(len(names))
     while True:
         before = root.copy()
@@ -172,11 +186,12 @@ def near_dups(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SA
         some = good.where((F.size("embedding") == dims) & (F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) <= int(share * 1_000_003)))
         picked = some.select("vec_id", "embedding").toArrow().sort_by("vec_id")
         if picked.num_rows:
-            indexes[dims] = fit(_matrix(picked["embedding"].combine_chunks(), dims), threshold)
+            indexes[dims] = fit(_matrix(picked["embedding"].combine_chunks(), dims), threshold, centroids_for(n))
     shared = vectors.sparkSession.sparkContext.broadcast(indexes)
     classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
+    kind = dict(classes.dtypes)
 
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for start in range(0, big.num_rows, 2000):
                 mixed = big.slice(start, 2000)
@@ -186,65 +201,39 @@ def near_dups(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SA
                     index = shared.value.get(dims) or single_cell(dims)
                     x = _unit(_matrix(batch.column("embedding"), dims))
                     row, cell = index.visits(x)
-                    own = index.cells(x)
+                    home = index.cells(x)
                     take = np.concatenate([np.arange(len(x)), row])
-                    picked = batch.take(pa.array(take))
-                    length = pa.array(np.full(len(take), dims, np.int32))
-                    cells = pa.array(np.concatenate([own, cell]).astype(np.int32))
-                    filed = pa.array(np.arange(len(take)) < len(x))
-                    yield pa.RecordBatch.from_arrays([picked.column("label"), length, cells, filed, picked.column("rep"), picked.column("weight"), picked.column("embedding")], ["label", "dims", "cell", "filed", "rep", "weight", "embedding"])
-
-    kind = dict(classes.dtypes)
-    schema = f"label {kind['label']}, dims int, cell int, filed boolean, rep {kind['rep']}, weight long, embedding {kind['embedding']}"
-    placed = classes.mapInArrow(file, schema)
-    sizes = classes.select("label", "embedding", "rep", "weight").mapInArrow(file, schema).groupBy("label", "dims", "cell").agg(
-        F.count(F.when(F.col("filed"), 1)).alias("filed_rows"), F.count(F.when(~F.col("filed"), 1)).alias("queries")
-    )
-    sizes = sizes.where("filed_rows > 0 AND filed_rows + queries > 2").select(
+                    cells = np.concatenate([home, cell])
+                    picked = batch.select(["label", "rep"]).take(pa.array(take))
+                    columns = [np.full(len(take), dims, np.int32), cells.astype(np.int32), np.arange(len(take)) < len(x), cells == home[take]]
+                    yield pa.RecordBatch.from_arrays([*picked.columns, *map(pa.array, columns)], ["label", "rep", "dims", "cell", "filed", "own"])
+
+    codes = cut(classes.select("label", "embedding", "rep").mapInArrow(code, f"label {kind['label']}, rep {kind['rep']}, dims int, cell int, filed boolean, own boolean"))
+    sizes = codes.groupBy("label", "dims", "cell").agg(F.count_if("filed").alias("filed_rows"), F.count_if(~F.col("filed")).alias("queries"))
+    # From a checkpoint, so that both sides of the join are shuffled for it and a hot cell can be split.
+    sizes = cut(sizes.where("filed_rows > 0 AND filed_rows + queries > 2").select(
         F.col("label").alias("l"), F.col("dims").alias("d"), F.col("cell").alias("c"), F.ceil(F.col("filed_rows") / block).cast("int").alias("parts"), F.ceil(F.col("queries") / block).cast("int").alias("turns")
-    )
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    ))
+    own_part = lambda n: F.array(F.pmod(F.xxhash64("rep"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    dealt = placed.join(sizes, (F.col("label") == F.col("l")) & (F.col("dims") == F.col("d")) & (F.col("cell") == F.col("c"))).select(
-        "label", "dims", "cell", "filed", "rep", "weight", "embedding",
-        F.when(F.col("filed"), F.array(own("parts"))).otherwise(every("parts")).alias("parts"),
-        F.when(F.col("filed"), every("turns")).otherwise(F.array(own("turns"))).alias("turns"),
+    dealt = codes.join(sizes, (F.col("label") == F.col("l")) & (F.col("dims") == F.col("d")) & (F.col("cell") == F.col("c"))).select(
+        F.col("rep").alias("of"), "dims", "cell", "filed", "own",
+        F.when(F.col("filed"), own_part("parts")).otherwise(every("parts")).alias("parts"),
+        F.when(F.col("filed"), every("turns")).otherwise(own_part("turns")).alias("turns"),
     )
     dealt = dealt.withColumn("part", F.explode("parts")).withColumn("turn", F.explode("turns")).drop("parts", "turns")
     key = ["label", "dims", "cell", "part", "turn"]
+    filled = dealt.join(classes, F.col("of") == F.col("rep")).select(*key, "filed", "own", "rep", "weight", "embedding")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        for batch in _then_none(batches):
-            table = pa.Table.from_batches([x for x in (carry, batch) if x is not None]).combine_chunks() if carry is not None or batch is not None else None
-            if table is None:
-                return
-            whole = table.to_batches()[0] if table.num_rows else None
-            if whole is None:
-                continue
-            codes = np.stack([whole.column(k).to_numpy(zero_copy_only=False) for k in key])
-            edges = np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(0)) + 1
-            bounds = [0, *edges.tolist(), whole.num_rows]
-            if batch is not None:
-                carry = whole.slice(bounds[-2])
-                bounds = bounds[:-1]
-            else:
-                carry = None
-            if len(bounds) < 2:
-                continue
-            n = bounds[-1]
-            ids, weight = whole.column("rep").to_numpy()[:n], whole.column("weight").to_numpy()[:n]
-            filed = whole.column("filed").to_numpy(zero_copy_only=False)[:n]
-            found = []
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                dims = int(codes[1, a])
-                x = _unit(_matrix(whole.column("embedding").slice(a, b - a), dims))
-                if r := _block(shared.value.get(dims) or single_cell(dims), threshold, ids[a:b], weight[a:b], filed[a:b], x):
-                    found.append(r)
+        for group in by_key(batches, key):
+            dims = group.column("dims")[0].as_py()
+            flags = [group.column(c).to_numpy(zero_copy_only=False) for c in ("filed", "own")]
+            found = _block(threshold, group.column("rep").to_numpy(), group.column("weight").to_numpy(), *flags, _unit(_matrix(group.column("embedding"), dims)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["id", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "links", "root"])
 
-    found = cut(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "id long, links long, root long"))
+    found = cut(filled.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "id long, links long, root long"))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
     known_classes = classes.join(counts, classes["rep"] == counts["id"], "left").drop("id")
@@ -255,11 +244,6 @@ def near_dups(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SA
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-def _then_none(batches):
-    yield from batches
-    yield None
-
-
 def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_dups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 

@@ -18,62 +18,84 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-MIN_WORDS = 8
-#: Most lines whose places are broadcast; more are joined by a shuffle.
+MIN_WORDS = 5
+#: Most documents whose wanted lines are broadcast, about 64 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
+_BLANKS = " \t\r\f"
+
 
 def fold(line: Column) -> Column:
-    """The words of a line, in lower case and with single spaces."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[ \t\r\f]+", " "))
+    """The words of a line, in lower case and with single spaces; the pattern runs only where it has work."""
+    low = F.lower(line)
+    uneven = F.contains(low, F.lit("  ")) | F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\f"))
+    return F.trim(F.when(uneven, F.regexp_replace(low, f"[{_BLANKS}]+", " ")).otherwise(low))
+
+
+def text_key() -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64("text")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, folded) of every line that is not blank."""
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return rows.select("doc_id", "place", fold(F.col("line")).alias("folded")).where("folded <> ''")
+    """(doc_id, text_key, place, folded) of every line that is not blank."""
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", text_key().alias("text_key"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    # Blank lines are told by the line itself: a condition on the folded line would be folded a second time.
+    return rows.where(F.ltrim("line", F.lit(_BLANKS)) != "").select("doc_id", "text_key", "place", fold(F.col("line")).alias("folded"))
+
 
+def _n_words(folded: str) -> Column:
+    return F.octet_length(folded) - F.octet_length(F.replace(F.col(folded), F.lit(" "), F.lit(""))) + 1
 
-def _half_keys(min_words: int) -> str:
-    """SQL for the keys of a line of ``n`` words by its first and last words.
+
+def _half_keys(min_words: int) -> Column:
+    """The keys of a line of ``n`` words by its first and last words.
 
     Two lines within one edit, the shorter of m words, share the first q(m) or the last q(m) words, as
-    2 q(m) <= m. A line can be the shorter one (m = n) or the longer (m = n - 1).
+    2 q(m) <= m. A line can be the shorter one (m = n) or the longer (m = n - 1). q(m) is m / 2 with all
+    but its two leading bits cleared, so that few lengths are in use.
     """
-    grid = lambda m: f"(({m}) div 2 - ({m}) div 2 % shiftleft(1, greatest(length(bin(({m}) div 2)) - 2, 0)))"
-    sizes = f"transform(array_distinct(array({grid('n')}, {grid('n - 1')})), q -> cast(q as int))"
-    keys = f"flatten(transform({sizes}, q -> array(xxhash64('first', q, slice(words, 1, q)), xxhash64('last', q, slice(words, -q, q)))))"
-    return f"CASE WHEN n >= {min_words} THEN {keys} ELSE cast(array() as array<bigint>) END"
+
+    def pair(q: str) -> str:
+        return f"xxhash64('first', {q}, substring_index(folded, ' ', {q})), xxhash64('last', {q}, substring_index(folded, ' ', -{q}))"
+
+    return F.expr(f"CASE WHEN n < {min_words} THEN cast(array() as array<bigint>) WHEN q0 = q1 THEN array({pair('q0')}) ELSE array({pair('q0')}, {pair('q1')}) END")
+
+
+def _half(m: str) -> Column:
+    half = f"(({m}) div 2)"
+    return F.expr(f"cast({half} - {half} % shiftleft(1, greatest(length(bin({half})) - 2, 0)) as int)")
 
 
 def _variants(likely: DataFrame) -> DataFrame:
-    """(h1, key, length, tag): each line itself (tag -1) and without its word ``tag``.
+    """(line, key, length, tag): each line itself (tag -1) and without its word ``tag``.
 
     The key of a word sequence is the xor of the hashes of (word, place). Running xors over the words,
     with the places as they are and as they are after a deletion, give all variants in linear time.
     """
-    words = likely.select("h1", F.posexplode(F.split("folded", " ")).alias("i", "word"), "n").withColumn("hash", F.xxhash64("word")).drop("word")
-    line = Window.partitionBy("h1")
+    words = likely.select("line", F.posexplode(F.split("folded", " ")).alias("i", "word"), "n").withColumn("hash", F.xxhash64("word")).drop("word")
+    line = Window.partitionBy("line")
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     here, moved = F.xxhash64("hash", F.col("i")), F.xxhash64("hash", F.col("i") - 1)
-    sums = words.select("h1", "i", "n", F.bit_xor(here).over(upto).alias("head"), here.alias("own"), F.bit_xor(moved).over(upto).alias("past"), F.bit_xor(moved).over(line).alias("all_moved"), F.bit_xor(here).over(line).alias("all"))
+    sums = words.select("line", "i", "n", F.bit_xor(here).over(upto).alias("head"), here.alias("own"), F.bit_xor(moved).over(upto).alias("past"), F.bit_xor(moved).over(line).alias("all_moved"), F.bit_xor(here).over(line).alias("all"))
     xor = lambda *c: F.expr(" ^ ".join(c))
     deleted = F.struct(xor("head", "own", "past", "all_moved").alias("key"), (F.col("n") - 1).alias("length"), F.col("i").alias("tag"))
     whole = F.struct(F.col("all").alias("key"), F.col("n").alias("length"), F.lit(-1).alias("tag"))
-    rows = sums.select("h1", F.explode(F.when(F.col("i") == 0, F.array(deleted, whole)).otherwise(F.array(deleted))).alias("v"))
-    return rows.select("h1", "v.*")
+    rows = sums.select("line", F.explode(F.when(F.col("i") == 0, F.array(deleted, whole)).otherwise(F.array(deleted))).alias("v"))
+    return rows.select("line", "v.*")
 
 
 def near_lines(likely: DataFrame) -> DataFrame:
     """``first`` of each line that an earlier one comes within one word of.
 
-    ``likely`` has (h1, first, n, folded), a row per distinct line; ``first`` is its earliest place.
+    ``likely`` has (line, first, n, folded), a row per distinct line; ``first`` is its earliest place.
     """
     variants = _variants(likely)
-    met = variants.groupBy("key", "length").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key", "length")
-    rows = cut(variants.join(met, ["key", "length"]).join(likely.select("h1", "first"), "h1").select("key", "length", "tag", "first"))
-    by_place = rows.groupBy("key", "length", "tag").agg(F.min("first").alias("same"))
-    by_key = by_place.groupBy("key", "length").agg(F.min(F.when(F.col("tag") < 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("tag") >= 0, F.struct("same", "tag"))).alias("cut"))
+    # What is joined back comes from checkpoints: both sides are then shuffled for the join, and a hot variant can be split.
+    met = cut(variants.groupBy("key", "length").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key", "length"))
+    rows = cut(variants.join(met, ["key", "length"]).join(likely.select("line", "first"), "line").select("key", "length", "tag", "first"))
+    by_place = cut(rows.groupBy("key", "length", "tag").agg(F.min("first").alias("same")))
+    by_key = cut(by_place.groupBy("key", "length").agg(F.min(F.when(F.col("tag") < 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("tag") >= 0, F.struct("same", "tag"))).alias("cut")))
     offers = rows.join(by_place, ["key", "length", "tag"]).join(by_key, ["key", "length"])
     offer = lambda at, tag: F.struct(at.alias("other"), tag.alias("other_tag"))
     none = F.lit(-1)
@@ -88,48 +110,68 @@ def near_lines(likely: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, places): the places of the lines that each document loses, if any."""
-    lines = lines_of(docs)
-    hashed = lines.withColumn("words", F.split("folded", " ")).withColumn("n", F.size("words"))
-    slim = cut(hashed.select("doc_id", "place", "n", F.xxhash64("folded").alias("h1"), F.xxhash64(F.lit(7), "folded").alias("h2"), F.expr(_half_keys(min_words)).alias("keys")))
+    """(doc_id, text_key, places): the places of the lines that each document loses, if any.
+
+    Lines are held in 128 bits of hash. Of rows with one doc_id the order is that of their text keys.
+    """
+    hashed = lines_of(docs).withColumn("n", _n_words("folded")).withColumn("q0", _half("n")).withColumn("q1", _half("n - 1"))
+    slim = cut(hashed.select("doc_id", "text_key", "place", "n", F.xxhash64("folded").alias("h1"), F.xxhash64(F.lit(7), "folded").alias("h2"), _half_keys(min_words).alias("keys")))
     keyed = slim.select("h1", F.explode("keys").alias("key"))
     # From a checkpoint, so that both sides of the join are shuffled for it and a hot key can be split.
     shared = cut(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))
     likely_hashes = keyed.join(shared, "key").groupBy("h1").agg(F.lit(True).alias("likely"))
-    at = F.struct("doc_id", "place")
-    distinct = slim.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.min("n").alias("n"))
+    distinct = slim.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
     distinct = cut(distinct.join(likely_hashes, "h1", "left").where("rows > 1 OR likely"))
     # The earliest place of the lines that still matter, looked up in the earliest document only: a join that also has
     # doc_id among its keys spreads the copies of a common line.
-    places = slim.select("h1", "h2", "doc_id", "place").join(distinct, ["h1", "h2", "doc_id"]).groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.min("n").alias("n"), F.max("rows").alias("rows"), F.max("likely").alias("likely")
+    at = F.struct("doc_id", "text_key", "place")
+    places = slim.select("h1", "h2", "doc_id", "text_key", "place").join(distinct, ["h1", "h2", "doc_id"]).groupBy("h1", "h2").agg(
+        F.min(at).alias("first"), F.max("rows").alias("rows"), F.max("likely").alias("likely")
     )
-    firsts = cut(places.select("h1", "h2", at.alias("first"), "n", "rows", "likely"))
-    wanted = firsts.where("likely").select("h1", "first", "n", F.col("first.doc_id").alias("of_doc"), F.col("first.place").alias("of_place"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    likely = cut(lines.join(wanted, (F.col("doc_id") == F.col("of_doc")) & (F.col("place") == F.col("of_place"))).select("h1", "first", "n", "folded").dropDuplicates(["h1"]))
+    firsts = cut(places)
+    likely = cut(_texts_of(docs, firsts.where("likely")).withColumn("line", F.monotonically_increasing_id()))
     near = near_lines(likely).withColumn("near", F.lit(True))
     losing = firsts.join(near, "first", "left").where("rows > 1 OR near").select("h1", "h2", "first", "near")
     gone = slim.join(losing, ["h1", "h2"]).where(F.col("near").isNotNull() | (at != F.col("first")))
-    return gone.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    return gone.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
+
+
+def _texts_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(first, n, folded) of the lines at the places ``first``; only they are folded again."""
+    wanted = firsts.groupBy(F.col("first.doc_id").alias("of_doc"), F.col("first.text_key").alias("of_text")).agg(F.collect_list("first.place").alias("wanted"))
+    if firsts.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", text_key().alias("text_key"), "text")
+    rows = texts.join(wanted, (F.col("doc_id") == F.col("of_doc")) & (F.col("text_key") == F.col("of_text")))
+    picked = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("wanted", lambda i: F.struct(i.alias("place"), F.get(lines, i).alias("line"))))
+    rows = rows.select("doc_id", "text_key", F.explode(picked[0]).alias("w")).select(F.struct("doc_id", "text_key", "w.place").alias("first"), "w.line")
+    return rows.select("first", fold(F.col("line")).alias("folded")).dropDuplicates(["first"]).withColumn("n", _n_words("folded"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of all rows, the text without its duplicate lines, and n_lines and n_removed.
 
-    Rows with a null doc_id or text stay as they are (n_lines 0 for a null text), as do blank lines. Rows
-    that repeat a doc_id share the places of their lines: equal rows keep or lose the same ones. An
-    empty table gives no rows. Columns named n_lines or n_removed are replaced.
+    Rows with a null doc_id or text stay as they are (n_lines 0 for a null text), as do blank lines. Equal
+    rows (doc_id and text) are one document and keep or lose the same lines; rows of one doc_id with
+    different texts are documents of their own, in the order of a hash of the text. An empty table gives
+    no rows. Columns named n_lines or n_removed are replaced; all others pass through, whatever their names.
     """
-    removed = removed_lines(docs, min_words).withColumnRenamed("doc_id", "_of")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_places"))
-    shorter = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    rows = docs.join(removed.withColumnRenamed("places", "_places"), F.col("doc_id") == F.col("_of"), "left")
-    rows = rows.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_places"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long")).withColumn("n_removed", F.when(F.col("_places").isNull(), 0).otherwise(F.col("n_removed")).cast("long"))
-    return rows.withColumn("text", F.when(F.col("_places").isNotNull(), shorter).otherwise(F.col("text"))).drop("_of", "_places")
+    # From a checkpoint, so that a doc_id that fills many rows can be split.
+    removed = cut(removed_lines(docs.select("doc_id", "text"), min_words))
+    inner = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    text = F.col(inner["text"])
+    rows = docs.toDF(*inner.values()).withColumn("key", F.xxhash64(text))
+    rows = rows.join(removed, (F.col(inner["doc_id"]) == F.col("doc_id")) & (F.col("key") == F.col("text_key")) & text.isNotNull(), "left")
+    # The array of one element holds the split text as a variable, so that it is split once.
+    shorter = F.transform(
+        F.array(F.split(text, "\n")),
+        lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("places")), lambda i: F.get(lines, i)), "\n"),
+    )[0]
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    lost = F.col("places").isNotNull()
+    kept = {c: F.when(lost, shorter).otherwise(text) if c == "text" else F.col(at) for c, at in inner.items() if c not in ("n_lines", "n_removed")}
+    n_lines, n_removed = F.coalesce(breaks + 1, F.lit(0)).cast("long"), F.when(lost, F.size("places")).otherwise(0).cast("long")
+    return rows.select(*kept.values(), n_lines, n_removed).toDF(*kept, "n_lines", "n_removed")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -49,15 +49,30 @@ def test_links_match_brute_force(spark):
 
 
 def test_recall_of_made_neighbours():
+    """Of a vector and a made neighbour, the one in the lower cell visits the other's."""
     rng = np.random.default_rng(2)
     unit = emb._unit(rng.normal(size=(3000, 32)))
     index = emb.fit(unit)
     noise = rng.normal(size=(500, 32))
     noise -= (noise * unit[:500]).sum(1)[:, None] * unit[:500]
     near = 0.98 * unit[:500] + np.sqrt(1 - 0.98**2) * emb._unit(noise)
-    row, cell = index.visits(near)
-    own = index.cells(unit[:500])
-    assert (np.isin(own * 500 + np.arange(500), cell * 500 + row)).mean() >= 0.99
+    met = np.zeros(500, bool)
+    for x, y in ((near, unit[:500]), (unit[:500], near)):
+        row, cell = index.visits(x)
+        met |= np.isin(index.cells(y) * 500 + np.arange(500), cell * 500 + row)
+        assert (cell >= index.cells(x)[row]).all()
+    assert met.mean() >= 0.99
+
+
+def test_codebooks_follow_the_number_of_vectors():
+    assert [emb.centroids_for(n) for n in (2, 1500, 10_000, 51_282, 10**6, 10**9)] == [2, 2, 4, 8, 32, 128]
+
+
+def test_many_cells_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(emb, "FEW", 10)
+    monkeypatch.setattr(emb, "BLOCK", 4)
+    rows = made(150, 0.05)
+    assert emb.centroids_for(len(rows)) >= 16 and found(spark, rows, block=8) == brute(rows)
 
 
 def test_blocks_of_a_hot_cell_and_copies(spark):

@@ -42,7 +42,7 @@ def found(spark, rows):
 
 def test_matches_brute_force(spark):
     rng = random.Random(6)
-    pool = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice([2, 7, 8, 9, 12, 20, 33]))] for _ in range(60)]
+    pool = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice([2, 4, 5, 6, 8, 9, 12, 20, 33]))] for _ in range(60)]
     rows = []
     for d in range(80):
         lines = []
@@ -63,7 +63,7 @@ def test_matches_brute_force(spark):
 
 
 def test_repeats_of_words(spark):
-    rows = [(1, "a a a a a a a a a"), (2, "a a a a a a a a"), (3, "a a a a a a a"), (4, "a a a a a a a a a a a"), (5, "b " * 3000 + "c"), (6, "b " * 3000 + "d"), (7, "b " * 2999 + "d")]
+    rows = [(1, "a a a a a a a a a"), (2, "a a a a a a a a"), (3, "a a a a a a"), (8, "a a a a"), (4, "a a a a a a a a a a a"), (5, "b " * 3000 + "c"), (6, "b " * 3000 + "d"), (7, "b " * 2999 + "d")]
     assert found(spark, rows) == brute(rows)
 
 
@@ -83,6 +83,32 @@ def test_odd_rows(spark):
     assert ld.dedup_lines(docs_of(spark, [(1, "a\na"), (1, "a\na")])).select("text").distinct().collect() == [("a",)]
 
 
+def test_rows_of_one_doc_id_are_documents_of_their_own(spark):
+    rows = [(1, "x"), (3, "A\nx"), (3, "x\nkept only here"), (3, "x\nkept only here")]
+    got = sorted(r["text"] for r in ld.dedup_lines(docs_of(spark, rows)).collect())
+    assert got == ["A", "kept only here", "kept only here", "x"]
+
+
+def test_clashing_names(spark):
+    names = ["_0", "key", "places", "_of", "text_key", "line", "first", "n_removed"]
+    docs = spark.createDataFrame([(*range(8), 1, "a\na"), (*range(8), 2, "b")], ", ".join(f"{n} long" for n in names) + ", doc_id long, text string")
+    out = ld.dedup_lines(docs).orderBy("doc_id").collect()
+    assert [(r["text"], r["n_removed"], r["places"], r["_0"], r["line"]) for r in out] == [("a", 1, 2, 0, 5), ("b", 0, 2, 0, 5)]
+
+
+def test_hot_variant_can_be_split(spark):
+    """A template line with one changing word: every line shares a variant, and the joins on it are split."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(20_000, numPartitions=4).selectExpr("id AS doc_id", "concat('one two three four five ', id, ' seven eight nine ten') AS text")
+        assert ld.dedup_lines(rows).where("text <> ''").count() == 1
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
 def test_only_dataframe_operations(spark):
     plan = ld.op8_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
