@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from ._order import with_prefix
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -28,23 +29,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
     Sources by code point, null last, take the weights in turn. The water level follows from the order
     of cap / weight: the first k sources are capped, with the least k that leaves the next below its cap.
+    Both orders are global ones over any number of sources; only sums and the level reach the driver.
     """
-    every = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(every) - 1) % len(weights) + 1).cast("int")).cast("long")
-    rising = Window.orderBy(F.col("cap").cast("double") / F.col("weight"), F.col("source").asc_nulls_last())
-    rows = (
-        sizes.withColumn("weight", weight)
-        .withColumn("cap", F.col("source_size") * max_epochs)
-        .withColumn("k", F.row_number().over(rising))
-        .withColumn("capped", F.sum("cap").over(rising.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cap"))
-        .withColumn("open", F.sum("weight").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("rest", F.sum("source_size").over(Window.partitionBy()) - F.col("capped"))
-    )
-    fits = F.col("rest").cast("double") * F.col("weight") <= F.col("cap").cast("double") * F.col("open")
-    level = F.min(F.when(fits, F.struct("k", "rest", "open"))).over(Window.partitionBy())
-    share = (F.col("weight") * F.col("level.rest")).cast("double") / F.col("level.open").cast("double")
-    target = F.when(F.col("level").isNull() | (F.col("k") < F.col("level.k")), F.col("cap").cast("double")).otherwise(share)
-    return rows.withColumn("level", level).select("source", "source_size", target.alias("target"))
+    by_name = F.col("source").asc_nulls_last()
+    turn = (F.col("position") % len(weights) + 1).cast("int")
+    rows = with_prefix(sizes, [by_name], []).select("source", "source_size", F.element_at(F.array(*[F.lit(w) for w in weights]), turn).cast("long").alias("weight"), (F.col("source_size") * max_epochs).alias("cap"))
+    rows = rows.withColumn("rise", F.col("cap").cast("double") / F.col("weight"))
+    rows = cut(with_prefix(rows, [F.col("rise"), by_name], ["cap", "weight"]))
+    total, all_weights = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    rest, open_ = F.lit(total or 0).cast("long") - F.col("before_cap"), F.lit(all_weights or 0).cast("long") - F.col("before_weight")
+    fits = rest.cast("double") * F.col("weight") <= F.col("cap").cast("double") * open_.cast("double")
+    level = rows.where(fits).agg(F.min(F.struct("position", rest.alias("rest"), open_.alias("open"))).alias("level")).first()["level"]
+    target = F.col("cap").cast("double")
+    if level:
+        share = (F.col("weight") * F.lit(level["rest"]).cast("long")).cast("double") / F.lit(level["open"]).cast("double")
+        target = F.when(F.col("position") < level["position"], target).otherwise(share)
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -53,8 +53,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     A null text has no words and is never taken; a null source is a source of its own; rows that
     repeat a doc_id count each for themselves; an empty table gives no rows; further columns are ignored.
     """
+    return _mix(docs, weights, max_epochs, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    The one document of a source that is taken in part stays if at least half of it is taken. Documents
+    without words (null texts too) have nothing to take and go. Rows equal in doc_id, text and source are
+    one document: one of them stands for all, with their repetitions added up. Column names may be any.
+    """
+    taken = _mix(docs, weights, max_epochs, seed).where("taken > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("of_doc"), F.col("source").alias("of_source"), F.col("text_key").alias("of_text")).agg(
+        F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"), F.count(F.lit(1)).alias("n")
+    )
+    # From a checkpoint, so that both sides of the join are shuffled for it and a hot document can be split.
+    taken = cut(taken.where("times > 0"))
+    inner = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    marked = docs.toDF(*inner.values()).withColumn("text_key", F.xxhash64(inner["text"]))
+    same = F.col(inner["doc_id"]).eqNullSafe(F.col("of_doc")) & F.col(inner["source"]).eqNullSafe(F.col("of_source")) & (F.col("text_key") == F.col("of_text"))
+    found = marked.join(taken.where("n = 1"), same)
+    if taken.where("n > 1").limit(1).count():
+        found = found.union(marked.join(taken.where("n > 1"), same).dropDuplicates(["of_doc", "of_source", "of_text"]))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*inner.values()).toDF(*inner)
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int) -> DataFrame:
+    """The columns of ``mix``, source and text_key."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    slim = cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("digest")))
+    slim = cut(docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("digest")))
     slim = slim.withColumn("bucket", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int"))
     buckets = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goals = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
@@ -80,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     left = F.col("part") - F.col("before") - (F.sum("size").over(ordered) - F.col("size"))
     inside = rows.where(F.col("bucket") == F.col("last")).withColumn("extra", F.greatest(F.lit(0), F.least("size", left)))
     outside = rows.where(F.col("bucket") != F.col("last")).withColumn("extra", F.when(F.col("bucket") < F.col("last"), F.col("size")).otherwise(0))
-    return inside.unionByName(outside).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    return inside.unionByName(outside).select("doc_id", "source", "text_key", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

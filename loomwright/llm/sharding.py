@@ -2,22 +2,26 @@
 
 The dimensions are source, language and size, eight bits each: the rank of the value for the first two
 (scaled down beyond 256 values) and a logarithmic step for the size. Files cut from this order have
-narrow ranges in all three, so a filter on any of them skips files. Equal texts of one source lie next
-to each other.
+narrow ranges in all three, so a filter on any of them skips files. Equal texts form a group, which has
+the least source and language of its rows and lies in one place of the order; a cut goes through a group
+only if it is larger than a ``1 / WHOLE`` share of a shard.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from ._order import with_prefix
 
 SHARDS = 24
 BITS = 8
 LAW = "bytes"
+#: Groups of equal texts up to this part of a shard are never cut.
+WHOLE = 16
 
 
 def hilbert_index(axes: list[np.ndarray], bits: int = BITS) -> np.ndarray:
@@ -45,61 +49,52 @@ def hilbert_index(axes: list[np.ndarray], bits: int = BITS) -> np.ndarray:
 
 def _ranked(rows: DataFrame, name: str) -> DataFrame:
     """Each distinct value of a column with its rank scaled to the grid; one row per value."""
-    order = Window.orderBy(F.col(name).asc_nulls_last())
-    values = rows.select(name).distinct()
-    scaled = (F.row_number().over(order) - 1) * (1 << BITS) / F.greatest(F.count(F.lit(1)).over(Window.partitionBy()), F.lit(1 << BITS))
-    return values.select(F.col(name).alias("value"), F.floor(scaled).cast("long").alias(f"{name}_axis"))
-
-
-def with_prefix(rows: DataFrame, order: list[str], size: str) -> DataFrame:
-    """Add position (from 0) and the sum of ``size`` before the row, in a global order.
-
-    The rows are range-partitioned and checkpointed; sums of partitions give each one its offset.
-    """
-    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
-    placed = placed.withColumn("part", F.shiftright("place", 33))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("total"))
-    sums = sums.select(F.col("part").alias("of_part"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("size_before"))
-    inner = F.coalesce(F.sum(size).over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (
-        placed.withColumn("inner", inner)
-        .join(sums, F.col("part") == F.col("of_part"))
-        .withColumn("position", F.col("rows_before") + F.col("place") - F.shiftleft("part", 33))
-        .withColumn("before", F.col("size_before") + F.col("inner"))
-        .drop("place", "part", "of_part", "rows_before", "size_before", "inner")
-    )
+    values = cut(with_prefix(rows.select(F.col(name).alias("value")).distinct(), [F.col("value").asc_nulls_last()], []))
+    scale = max(values.count(), 1 << BITS)
+    return values.select("value", F.expr(f"(position * {1 << BITS}) div {scale}").cast("long").alias(f"{name}_axis"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
-    A null text has 0 bytes (size 8) and the checksum of an empty one; null sources and languages are
-    values of their own, after all others; repeated rows are placed each for themselves; an empty table
-    gives no rows; further columns are ignored. A row belongs to the shard in which its middle byte falls,
-    so shards differ from an equal share by at most one document.
+    A null text has 0 bytes (size 8) and the checksum of an empty one, with which it forms a group; null
+    sources and languages are values of their own, after all others; repeated rows are placed each for
+    themselves; an empty table gives no rows; further columns are ignored. A group (of equal texts, told
+    by 96 bits of hash and the size) or, if it is larger than a share of a shard, each of its rows belongs to
+    the shard in which its middle byte falls, so shards differ from an equal share by at most one of these.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", "lang",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    length = F.length(F.bin("size")) - 1
-    axis = F.least(F.lit((1 << BITS) - 1), (length - 3) * 8 + F.expr("shiftright(size, cast(length(bin(size)) - 4 as int)) & 7L")).cast("long")
+    text = F.coalesce("text", F.lit(""))
+    rows = cut(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
+    ))
+    placed = rows
     for name in ("source", "lang"):
-        ranks = _ranked(docs, name)
-        rows = rows.join(ranks, rows[name].eqNullSafe(ranks["value"])).drop("value")
+        ranks = _ranked(rows, name)
+        placed = placed.join(ranks, F.col(name).eqNullSafe(F.col("value"))).drop("value")
 
     @F.pandas_udf("long")
     def curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index([a.to_numpy(), b.to_numpy(), c.to_numpy()]))
 
-    rows = rows.select("doc_id", "size", "text_crc32", curve("source_axis", "lang_axis", axis).alias("curve"))
-    rows = cut(with_prefix(rows, ["curve", "text_crc32", "doc_id"], "size"))
-    total = rows.agg(F.sum("size")).first()[0] or 1
-    rows = rows.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"((2 * before + size) * {shards}) div {2 * total}")).cast("int"))
-    first = rows.groupBy("shard").agg(F.min("position").alias("first")).withColumnRenamed("shard", "of_shard")
-    return rows.join(F.broadcast(first), F.col("shard") == F.col("of_shard")).select(
+    length = F.length(F.bin("size")) - 1
+    axis = F.least(F.lit((1 << BITS) - 1), (length - 3) * 8 + F.expr("shiftright(size, cast(length(bin(size)) - 4 as int)) & 7L")).cast("long")
+    text_key = ["text_hash", "text_crc32", "size"]
+    groups = placed.groupBy(*text_key).agg(F.min(F.struct("source_axis", "lang_axis")).alias("least"), F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
+    groups = groups.select(*text_key, "rows", "bytes", curve("least.source_axis", "least.lang_axis", axis).alias("curve"))
+    groups = cut(with_prefix(groups, [F.col(c) for c in ("curve", *text_key)], ["rows", "bytes"]))
+    total = groups.agg(F.sum("bytes")).first()[0] or 1
+
+    groups = groups.select(*[F.col(c).alias(f"of_{c}") for c in text_key], F.col("position").alias("group"), "bytes", "before_rows", "before_bytes")
+    same = (F.col("text_hash") == F.col("of_text_hash")) & (F.col("text_crc32") == F.col("of_text_crc32")) & (F.col("size") == F.col("of_size"))
+    found = rows.select("doc_id", *text_key).join(groups, same).select("doc_id", "size", "text_crc32", "group", "bytes", "before_rows", "before_bytes")
+    found = with_prefix(found, [F.col("group"), F.col("doc_id")], [])
+    whole = F.col("bytes") * (WHOLE * shards) <= total
+    start = F.col("before_bytes") + F.when(whole, 0).otherwise((F.col("position") - F.col("before_rows")) * F.col("size"))
+    found = found.withColumn("start", start).withColumn("unit", F.when(whole, F.col("bytes")).otherwise(F.col("size")))
+    found = cut(found.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"((2 * start + unit) * {shards}) div {2 * total}")).cast("int")))
+    first = found.groupBy("shard").agg(F.min("position").alias("first")).withColumnRenamed("shard", "of_shard")
+    return found.join(F.broadcast(first), F.col("shard") == F.col("of_shard")).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("position") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
