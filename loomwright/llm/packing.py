@@ -1,9 +1,10 @@
 """Packing: Karmarkar-Karp multiway differencing into windows of near-equal length.
 
 Documents become token ids plus an end id. Whole windows are cut off first; the rest is cut into
-pieces of at most ``max_piece`` ids. Groups of about ``group_docs`` documents, dealt evenly whatever
-the keys, are then packed on their own: partial partitions with the widest spread are merged largest
-against smallest until one remains, and the window count rises while a window exceeds the capacity.
+pieces of at most ``max_piece`` ids. Groups of about ``group_docs`` documents, dealt by a hash of id and
+text so that a task that is computed again deals alike, are then packed on their own: partial partitions
+with the widest spread are merged largest against smallest until one remains, and the window count rises
+while a window exceeds the capacity. A group that many equal rows fill is packed in runs of bounded size.
 """
 
 from __future__ import annotations
@@ -13,9 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,11 +85,9 @@ def tokenize(docs: DataFrame, groups: int, capacity: int = CAPACITY, max_piece:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(path)
-        seen = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
-            dealt = mix(np.arange(seen, seen + batch.num_rows, dtype=np.uint64)) % np.uint64(groups)
-            seen += batch.num_rows
+            dealt = mix(batch.column("hash").to_numpy().view(np.uint64)) % np.uint64(groups)
             for doc_id, text, group in zip(batch.column("doc_id").to_pylist(), batch.column("text"), dealt.tolist(), strict=True):
                 ids = bpe.encode(text.as_py()) + end
                 n, start = len(ids) // 4, 0
@@ -101,7 +98,7 @@ def tokenize(docs: DataFrame, groups: int, capacity: int = CAPACITY, max_piece:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pack_group"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{PIECES}, pack_group long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("hash")).mapInArrow(run, f"{PIECES}, pack_group long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, max_piece: int = MAX_PIECE, path: str | None = None) -> DataFrame:
@@ -112,19 +109,43 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS
     ``capacity`` ids and are padded to it.
     """
     groups = max(1, -(-docs.count() // group_docs))
+    most = 16 * group_docs
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        sizes = pdf["length"].to_numpy()
-        window = np.empty(len(pdf), np.int64)
+    def finish(table: pa.Table, first: int) -> tuple[pa.RecordBatch, int]:
+        """The rows of one group with sequence and offset, windows numbered from ``first``; and the next number."""
+        sizes = table["length"].to_numpy()
+        window = np.empty(len(sizes), np.int64)
         whole = sizes == capacity
         window[~whole], count = pack_group(sizes[~whole], capacity)
         window[whole] = count + np.arange(whole.sum())
-        pdf["sequence_id"] = (int(key[0]) << 32) + window
-        pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
-        return pdf.drop(columns="pack_group")
+        order = np.argsort(window, kind="stable")
+        ends = np.cumsum(sizes[order]) - sizes[order]
+        fresh = np.flatnonzero(np.diff(window[order], prepend=-1))
+        offset = np.empty(len(sizes), np.int64)
+        offset[order] = ends - np.repeat(ends[fresh], np.diff(fresh, append=len(sizes)))
+        sequence = (table["pack_group"].to_numpy() << 32) + first + window
+        columns = [*table.drop_columns("pack_group").combine_chunks().to_batches()[0].columns, pa.array(sequence), pa.array(offset)]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PACKED.split(", ")]), first + int(window.max()) + 1
 
-    return tokenize(docs, groups, capacity, max_piece, path).groupBy("pack_group").applyInPandas(run, PACKED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, group, first = None, None, 0
+        for batch in batches:
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            of = rest["pack_group"].to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist()]
+            if len(of) - bounds[-1] >= most:
+                bounds.append(len(of))
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                first = first if of[a] == group else 0
+                group = of[a]
+                out, first = finish(rest.slice(a, b - a), first)
+                yield out
+            rest = rest.slice(bounds[-1])
+        if rest is not None and len(rest):
+            yield finish(rest, first if rest["pack_group"][0].as_py() == group else 0)[0]
+
+    pieces = tokenize(docs, groups, capacity, max_piece, path)
+    return pieces.repartition("pack_group").sortWithinPartitions("pack_group", "doc_id", "start", "ids_crc32", "doc_tokens").mapInArrow(run, PACKED)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

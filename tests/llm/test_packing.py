@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomwright.llm import packing
 from loomwright.llm.tokens import WordBpe, tokenizer_path
@@ -51,6 +52,22 @@ def test_pieces_cover_all_ids(spark):
     assert out["length"].sum() / (out["sequence_id"].nunique() * packing.CAPACITY) > 0.97
 
 
+def test_dealing_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 150, "some words " * (i % 150 * 17 % 400)) for i in range(300)] + [(None, "a"), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (sorted(map(str, packing.pack(docs.orderBy(*order).coalesce(n), group_docs=50).collect())) for order, n in ((["doc_id"], 1), ([F.desc("text"), "doc_id"], 3)))
+    assert a == b
+
+
+def test_many_equal_rows_are_packed_in_runs(spark):
+    docs = spark.range(5000).selectExpr("cast(1 as bigint) AS doc_id", "'one two three' AS text")
+    out = packing.pack(docs, group_docs=16).toPandas()
+    assert len(out) == 5000 and out.groupby("sequence_id")["length"].sum().max() <= packing.CAPACITY
+    for _, own in out.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert (own["offset"] == own["length"].cumsum() - own["length"]).all()
+
+
 def test_odd_rows(spark):
     check(spark, [(1, None), (2, ""), (3, "x"), (3, "x"), (4, "long text " * 20_000), (5, "<|endoftext|> Σ 日本")])
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
