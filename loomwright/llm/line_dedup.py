@@ -148,13 +148,13 @@ def _texts_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return rows.select("first", fold(F.col("line")).alias("folded")).dropDuplicates(["first"]).withColumn("n", _n_words("folded"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of all rows, the text without its duplicate lines, and n_lines and n_removed.
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of all rows, the text without its duplicate lines, and ``counts``: its lines before, and those removed.
 
     Rows with a null doc_id or text stay as they are (n_lines 0 for a null text), as do blank lines. Equal
     rows (doc_id and text) are one document and keep or lose the same lines; rows of one doc_id with
     different texts are documents of their own, in the order of a hash of the text. An empty table gives
-    no rows. Columns named n_lines or n_removed are replaced; all others pass through, whatever their names.
+    no rows. Columns named as ``counts`` are replaced; all others pass through, whatever their names.
     """
     # From a checkpoint, so that a doc_id that fills many rows can be split.
     removed = cut(removed_lines(docs.select("doc_id", "text"), min_words))
@@ -169,9 +169,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )[0]
     breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     lost = F.col("places").isNotNull()
-    kept = {c: F.when(lost, shorter).otherwise(text) if c == "text" else F.col(at) for c, at in inner.items() if c not in ("n_lines", "n_removed")}
+    kept = {c: F.when(lost, shorter).otherwise(text) if c == "text" else F.col(at) for c, at in inner.items() if c not in counts}
     n_lines, n_removed = F.coalesce(breaks + 1, F.lit(0)).cast("long"), F.when(lost, F.size("places")).otherwise(0).cast("long")
-    return rows.select(*kept.values(), n_lines, n_removed).toDF(*kept, "n_lines", "n_removed")
+    return rows.select(*kept.values(), n_lines, n_removed).toDF(*kept, *counts)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
