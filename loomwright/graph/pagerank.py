@@ -17,7 +17,8 @@ def adjacency_pagerank(edges: DataFrame, iterations: int = 10, vertices: DataFra
     Ranks begin at 1 for each vertex with a row of links. A vertex without in-links has no rank after an
     iteration and passes nothing on; parallel edges count each. Ranks are not normalised.
     """
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    # From a checkpoint, so that both sides of the join are shuffled for it and a hub can be split.
+    degree = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")))
     links = cut(edges.join(degree, "src"))
     ranks = (vertices.select("id") if vertices is not None else degree.select(F.col("src").alias("id"))).distinct().withColumn("rank", F.lit(1.0))
     for k in range(iterations):
@@ -33,7 +34,8 @@ def static_pagerank(edges: DataFrame, iterations: int = 10, reset: float = 0.15)
 
     A vertex without in-links gets ``reset``.
     """
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    # From a checkpoint, so that both sides of the join are shuffled for it and a hub can be split.
+    degree = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")))
     links = cut(edges.join(degree, "src"))
     vertices = cut(edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct())
     ranks = vertices.withColumn("rank", F.lit(1.0))

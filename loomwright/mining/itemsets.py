@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 ITEMSETS = "items array<int>, support long"
+#: Most paths before a suffix that one task mines.
+MOST_PATHS = 50_000
 
 
 def min_count(baskets: DataFrame, min_support: float) -> tuple[int, int]:
@@ -31,30 +33,38 @@ def item_frequencies(baskets: DataFrame, threshold: int) -> DataFrame:
 
 
 def levelwise(baskets: DataFrame, min_support: float, partitions: list[int] | None = None) -> DataFrame:
-    """Level by level over the vertical table (prefix, last, tid).
+    """Level by level over the vertical table (prefix, last, tid), a prefix being the id of a frequent set.
 
     Sets of a level that share all but the last item meet in their baskets by an equi-join on (tid,
-    prefix); supports are partial counts before the shuffle; only frequent sets go on. Only the number
-    of frequent sets of a level reaches the driver. ``partitions`` gives the partitions of each level's
-    join, the last one for all further levels.
+    prefix), once a level; a longer set goes on only if its last two items are a frequent pair. Supports
+    are partial counts before the shuffle. Only the number of frequent sets of a level reaches the
+    driver. ``partitions`` gives the partitions of each level's join, the last one for all further levels.
     """
     baskets = cut(baskets)
     _, threshold = min_count(baskets, min_support)
     long = baskets.select("tid", F.explode(F.array_distinct("items")).alias("last"))
-    frequent = cut(item_frequencies(baskets, threshold).select(F.col("item").alias("last"), "support"))
-    level = cut(long.join(frequent.select("last"), "last", "left_semi").select(F.array().cast("array<int>").alias("prefix"), "last", "tid"))
-    out = frequent.select(F.array("last").alias("items"), "support")
-    found, depth = frequent.count(), 0
+    frequent = cut(item_frequencies(baskets, threshold).select(F.lit(-1).cast("long").alias("prefix"), F.col("item").alias("last"), F.array("item").alias("items"), F.col("item").cast("long").alias("id"), "support"))
+    level = long.join(frequent.select("last", "prefix"), "last").select("prefix", "last", "tid")
+    out = frequent.select("items", "support")
+    found, depth, doubles = frequent.count(), 0, None
     while found > 1:
         if partitions:
             level = level.repartition(partitions[min(depth, len(partitions) - 1)], "tid", "prefix")
-        longer = level.withColumnRenamed("last", "next")
-        pairs = level.join(longer, ["tid", "prefix"]).where("last < next").select(F.array_append("prefix", F.col("last")).alias("prefix"), F.col("next").alias("last"), "tid")
-        frequent = cut(pairs.groupBy("prefix", "last").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") > threshold))
+        level = cut(level)
+        pairs = level.join(level.withColumnRenamed("last", "next"), ["tid", "prefix"]).where("last < next")
+        if doubles is not None:
+            pairs = pairs.join(doubles, ["last", "next"], "left_semi")
+        pairs = cut(pairs.select("prefix", "last", "next", "tid"))
+        counted = pairs.groupBy("prefix", "last", "next").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") > threshold)
+        shorter = frequent.select("prefix", "last", F.col("items").alias("short"), F.col("id").alias("short_id"))
+        frequent = cut(counted.join(shorter, ["prefix", "last"]).select("prefix", "last", "next", "short_id", F.array_append("short", F.col("next")).alias("items"), F.monotonically_increasing_id().alias("id"), "support"))
         found, depth = frequent.count(), depth + 1
-        out = out.union(frequent.select(F.array_append("prefix", F.col("last")).alias("items"), "support"))
+        out = out.union(frequent.select("items", "support"))
+        if doubles is None:
+            doubles = frequent.select("last", "next")
         if found > 1:
-            level = cut(pairs.join(frequent.select("prefix", "last"), ["prefix", "last"], "left_semi"))
+            level = pairs.join(frequent.select("prefix", "last", "next", "short_id"), ["prefix", "last", "next"]).select(F.col("short_id").alias("prefix"), F.col("next").alias("last"), "tid")
+        frequent = frequent.select(F.col("short_id").alias("prefix"), F.col("next").alias("last"), "items", "id", "support")
     return out
 
 
@@ -94,12 +104,15 @@ def _grow(rows: list[tuple[tuple[int, ...], int]], suffix: tuple[int, ...], thre
             yield from _grow(list(shorter.items()), found, threshold)
 
 
-def projected(baskets: DataFrame, min_support: float, rho: int = 2, partitions: int | None = None) -> DataFrame:
+def projected(baskets: DataFrame, min_support: float, rho: int = 2, mu: int = 0, partitions: int | None = None, most_paths: int = MOST_PATHS) -> DataFrame:
     """By conditional pattern bases, split over suffixes of ``rho`` items.
 
     Baskets keep their frequent items, most frequent first, and equal baskets are counted once. Every
     suffix of up to ``rho`` items gets its support by a grouped sum; the paths before a suffix of
-    ``rho`` items, again counted once, are mined on their own. A larger ``rho`` gives more, smaller groups.
+    ``rho`` items, again counted once, are mined on their own. A suffix with more than ``most_paths``
+    paths is split further, item by item, until its groups are small or used up. ``mu`` > 0 deals the
+    baskets by their first ``mu`` items before they are projected, so that equal beginnings meet in a
+    task and fold there; it changes the work of tasks, not the result.
     """
     baskets = cut(baskets)
     _, threshold = min_count(baskets, min_support)
@@ -107,23 +120,33 @@ def projected(baskets: DataFrame, min_support: float, rho: int = 2, partitions:
     ranked = baskets.select("tid", F.explode(F.array_distinct("items")).alias("item")).join(frequent, "item")
     ordered = ranked.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct(F.negate("support").alias("k"), "item"))).alias("path"))
     paths = ordered.select(F.col("path.item").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("count"))
+    if mu > 0:
+        begin = F.slice("path", F.lit(1), F.lit(mu))
+        paths = paths.repartition(partitions, begin) if partitions else paths.repartition(begin)
     rows = paths.select(F.array().cast("array<int>").alias("suffix"), "path", "count")
-    levels = []
-    for _ in range(rho):
+    out, small, depth = None, None, 0
+    while True:
         rows = rows.select("suffix", "path", "count", F.posexplode("path").alias("at", "item"))
         rows = rows.select(F.concat(F.array("item"), "suffix").alias("suffix"), F.slice("path", F.lit(1), F.col("at")).alias("path"), "count")
         rows = rows.groupBy("suffix", "path").agg(F.sum("count").alias("count"))
-        supports = rows.groupBy("suffix").agg(F.sum("count").alias("support")).where(F.col("support") > threshold)
-        rows = cut(rows.join(supports.select("suffix"), "suffix", "left_semi"))
-        levels.append(rows.groupBy("suffix").agg(F.sum("count").alias("support")).select(F.sort_array("suffix").alias("items"), "support"))
-        rows = rows.where(F.size("path") > 0)
+        sums = cut(rows.groupBy("suffix").agg(F.sum("count").alias("support"), F.count_if(F.size("path") > 0).alias("paths")).where(F.col("support") > threshold))
+        level = sums.select(F.sort_array("suffix").alias("items"), "support")
+        out = level if out is None else out.union(level)
+        depth += 1
+        rows = rows.where(F.size("path") > 0).join(sums.where("paths > 0").select("suffix", "paths"), "suffix")
+        if depth < rho:
+            rows = cut(rows.drop("paths"))
+            continue
+        rows = cut(rows)
+        here = rows.where(F.col("paths") <= most_paths).drop("paths")
+        small = here if small is None else small.union(here)
+        rows = rows.where(F.col("paths") > most_paths).drop("paths")
+        if not rows.limit(1).count():
+            break
 
     def mine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = list(_grow([(tuple(p), int(c)) for p, c in zip(pdf["path"], pdf["count"], strict=True)], tuple(key[0]), threshold))
         return pd.DataFrame(found, columns=["items", "support"])
 
-    groups = rows.repartition(partitions, "suffix") if partitions else rows
-    out = groups.groupBy("suffix").applyInPandas(mine, ITEMSETS)
-    for level in levels:
-        out = out.union(level)
-    return out
+    groups = small.repartition(partitions, "suffix") if partitions else small
+    return out.union(groups.groupBy("suffix").applyInPandas(mine, ITEMSETS))

@@ -33,6 +33,18 @@ def sample(rows: DataFrame, fraction: float, seed: int) -> DataFrame:
 
 
 def first_by_total(sizes: DataFrame) -> DataFrame:
-    """Of (app, dependency, bytes), the first dependency of each app with a given total of bytes."""
+    """Of (app, dependency, bytes), the first dependency of each app with a given total of bytes.
+
+    A dependency may be any value that can be ordered, such as (stage, number).
+    """
     totals = sizes.groupBy("app", "dependency").agg(F.sum("bytes").alias("total"))
     return totals.groupBy("app", "total").agg(F.min("dependency").alias("dependency"))
+
+
+def keys_by_dependency(keys: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(app, stage, dependency, key, n) of the dependencies that no earlier one of the app equals in bytes.
+
+    ``keys`` has (app, stage, dependency, key), ``sizes`` (app, stage, dependency, bytes) a row per file.
+    """
+    first = first_by_total(sizes.select("app", F.struct("stage", "dependency").alias("dependency"), "bytes")).select("app", "dependency.*")
+    return keys.join(first, ["app", "stage", "dependency"], "left_semi").groupBy("app", "stage", "dependency", "key").agg(F.count(F.lit(1)).alias("n"))

@@ -10,10 +10,10 @@ from ..graph.components import connected_components as components_of
 from ..graph.pagerank import adjacency_pagerank, static_pagerank
 from ..mining import itemsets
 from ..operators import profile as keys
-from ..session import table
+from ..session import cut, table
 from ..sources import text
 from ..tuner import profile as tasks
-from . import workloads
+from . import log_queries, workloads
 
 #: Share of baskets that an itemset must exceed.
 MIN_SUPPORT = 0.0015
@@ -46,7 +46,7 @@ def _named(sets: DataFrame) -> DataFrame:
 
 
 def item_frequency(spark: SparkSession, d: str) -> DataFrame:
-    baskets = _baskets(spark, d)
+    baskets = cut(_baskets(spark, d))
     return itemsets.item_frequencies(baskets, itemsets.min_count(baskets, MIN_SUPPORT)[1])
 
 
@@ -244,7 +244,7 @@ QUERIES = {
         pagerank_10, pagerank_10_all, pagerank_reset, pagerank_reset_all, connected_components, connected_components_all, adjacency_edges, adjacency_edges_all, edge_list, edge_list_all, byte_count_per_key, key_frequency_sorted, records_per_key_cdf, dedup_by_total,
         sample_rows, task_stats_skew, task_stats_corr, task_stats_percentile, stage_rollup, executor_gc, empty_tasks, spill_partitions, gc_partitions, imbalance_source, iterative_regular_class,
     )
-}
+} | log_queries.QUERIES
 
 _BASKETS = f"""b AS (SELECT DISTINCT l_orderkey AS tid, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
 m AS (SELECT CAST(floor({MIN_SUPPORT} * count(DISTINCT tid)) AS BIGINT) AS min_count FROM b),
@@ -340,4 +340,4 @@ ORACLE_SQL = {
     "iterative_regular_class": """WITH r AS (SELECT event_type AS point, date_trunc('hour', ts) AS hour, count(*) AS records FROM events GROUP BY ALL),
         n AS (SELECT point, coalesce(least(records, p) / greatest(records, p) >= 0.9, true) AS near FROM (SELECT *, lag(records) OVER (PARTITION BY point ORDER BY hour) AS p FROM r))
         SELECT point, count(*) > 1 AS iterative, bool_and(near) AS regular FROM n GROUP BY point""",
-}
+} | log_queries.ORACLE_SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 
@@ -33,3 +34,10 @@ def time_query(spark: SparkSession, query: str | Callable[[SparkSession], DataFr
         df.write.format("noop").mode("overwrite").save()
         out.append((time.perf_counter() - began) * 1000)
     return out
+
+
+def run_benchmark(spark: SparkSession, name: str, queries: dict[str, str], iterations: int = 3) -> dict:
+    """Name, milliseconds of each run and tables read of one of the named queries."""
+    plan = spark.sql(queries[name])._jdf.queryExecution().analyzed().toString()
+    tables = sorted(t.lower() for t in set(re.findall(r"SubqueryAlias `?(\w+)`?", plan)) if spark.catalog.tableExists(t))
+    return {"query": name, "milliseconds": time_query(spark, queries[name], iterations), "tables": tables}

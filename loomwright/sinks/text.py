@@ -16,6 +16,14 @@ def write_key_frequencies(frequencies: DataFrame, path: str) -> None:
     frequencies.orderBy("key").select(F.concat_ws(" ", "key", F.col("n").cast("string"))).write.text(path)
 
 
+def write_key_tree(counts: DataFrame, path: str) -> None:
+    """Frequencies of (app, stage, dependency, key, n) in a folder for each dependency, ``key n`` on each line, keys ascending."""
+    place = ["app", "stage", "dependency"]
+    # Dealt by ranges of keys, so that a large dependency fills several files in order.
+    rows = counts.repartitionByRange(*place, "key").sortWithinPartitions(*place, "key")
+    rows.select(*place, F.concat_ws(" ", "key", F.col("n").cast("string")).alias("value")).write.partitionBy(*place).text(path)
+
+
 def write_byte_counts(counts: DataFrame, path: str) -> None:
     """key, number and bytes, separated by tabs."""
     counts.select("key", "n", "bytes").write.csv(path, sep="\t")

@@ -69,14 +69,26 @@ def file_sizes(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob).select("path", "length")
 
 
+def _in_tree(path: Column) -> list[Column]:
+    parts = F.split(path, "/")
+    return [F.element_at(parts, k).alias(name) for k, name in ((-4, "app"), (-3, "stage"), (-2, "dependency"))]
+
+
 def key_files(spark: SparkSession, root: str) -> DataFrame:
     """(app, stage, dependency, key) of a tree ``root/app/stage/dependency/part`` with a key on each line."""
-    rows = spark.read.option("recursiveFileLookup", True).text(root).select(F.split(F.col("_metadata.file_path"), "/").alias("p"), F.col("value").alias("key"))
-    return rows.select(F.element_at("p", -4).alias("app"), F.element_at("p", -3).alias("stage"), F.element_at("p", -2).alias("dependency"), "key")
+    return spark.read.option("recursiveFileLookup", True).text(root).select(*_in_tree(F.col("_metadata.file_path")), F.col("value").alias("key"))
+
+
+def key_file_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """(app, stage, dependency, bytes) of each file of such a tree."""
+    return file_sizes(spark, root).select(*_in_tree(F.col("path")), F.col("length").alias("bytes"))
 
 
-def register_views(spark: SparkSession, folder: str, names: list[str], fmt: str = "parquet") -> None:
-    """Temporary views over the tables of a folder."""
-    suffix = ".parquet" if fmt == "parquet" else ""
-    for name in names:
-        spark.read.format(fmt).load(f"{folder}/{name}{suffix}").createOrReplaceTempView(name)
+def register_views(spark: SparkSession, folder: str, names: list[str] | None = None, fmt: str = "parquet") -> list[str]:
+    """Temporary views over the tables of a folder, all of them unless named; returns their names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [f.getPath().getName() for f in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+    tables = {n.removesuffix(f".{fmt}"): n for n in sorted(found) if not n.startswith(("_", "."))}
+    for name in names or tables:
+        spark.read.format(fmt).load(f"{folder}/{tables[name]}").createOrReplaceTempView(name)
+    return list(names or tables)

@@ -18,17 +18,25 @@ _METRICS = (
 )
 SCHEMA = f"Event string, `Stage ID` bigint, `Stage Info` {_STAGE}, Properties map<string, string>, `Task End Reason` struct<Reason: string>, `Task Info` struct<Index: int, Attempt: int, `Executor ID`: string>, `Task Metrics` {_METRICS}"
 
-#: Operators whose output partitions can be chosen.
-ADAPTABLE = ("reduceByKey", "join", "aggregateByKey", "textFile", "partitionBy", "Exchange", "AQEShuffleRead")
+#: Operators whose output partitions can be chosen; "Scan" stands for the scans of all formats.
+ADAPTABLE = ("reduceByKey", "join", "aggregateByKey", "textFile", "partitionBy", "Exchange", "AQEShuffleRead", "Scan")
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The parsed events of a log: a file, or a folder of rolled and possibly compressed parts."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!a.]*").text(path)
+def parse_events(lines: DataFrame) -> DataFrame:
+    """The submissions of stages and ends of tasks among the JSON lines (value) of a log."""
     wanted = F.col("value").contains("SparkListenerStageSubmitted") | F.col("value").contains("SparkListenerTaskEnd")
     return lines.where(wanted).select(F.from_json("value", SCHEMA).alias("e")).select("e.*")
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The parsed events of a log: a file of any name, or a folder of rolled and possibly compressed parts.
+
+    The status files that lie beside rolled parts hold no events.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).where("NOT startswith(_metadata.file_name, 'appstatus')")
+    return parse_events(lines)
+
+
 def stages(events: DataFrame) -> DataFrame:
     """A row per stage id; the first submission counts."""
     info = events.where("Event = 'SparkListenerStageSubmitted'").select(F.col("`Stage Info`").alias("i"), F.col("Properties").alias("p"))
@@ -43,7 +51,8 @@ def stages(events: DataFrame) -> DataFrame:
 def stage_rdds(stage_rows: DataFrame) -> DataFrame:
     """A row per RDD of a stage, with scope id and operator from its scope; RDDs without one have nulls."""
     rows = stage_rows.select("stage_id", F.explode("rdds").alias("r")).withColumn("scope", F.from_json("r.Scope", "id string, name string"))
-    operator = F.regexp_replace(F.trim("scope.name"), r" .*", "")
+    # "Scan parquet db.t" and "FileScan text" are scans, "Exchange hashpartitioning" is an exchange.
+    operator = F.regexp_replace(F.regexp_replace(F.trim("scope.name"), r" .*", ""), r"^(File|Batch)?Scan.*", "Scan")
     return rows.select(
         "stage_id", F.col("r.`RDD ID`").alias("rdd_id"), F.col("r.Name").alias("name"), F.col("scope.id").try_cast("bigint").alias("scope_id"),
         operator.alias("operator"), F.col("r.`Parent IDs`").alias("parent_ids"), F.col("r.Callsite").alias("callsite"),
@@ -59,6 +68,33 @@ def adaptive_rdds(rdds: DataFrame) -> DataFrame:
     return fit.groupBy("stage_id").agg(F.max_by(F.struct("rdd_id", "operator", "name"), F.struct("scope_id", F.negate("rdd_id").alias("k"))).alias("a")).select("stage_id", "a.*")
 
 
+def points(stage_rows: DataFrame, rdds: DataFrame, only_adaptive: bool = False) -> DataFrame:
+    """(stage_id, name, num_rdds, parent_ids, rdd_id, operator, point, named) of each stage with an adaptable RDD.
+
+    The point is the stage's property, else the RDD's own name if that says "adaptive", else the name
+    with its operator. ``only_adaptive`` leaves out the points without a name of their own.
+    """
+    found = adaptive_rdds(rdds).select("stage_id", "rdd_id", "operator", F.coalesce("name", F.lit("")).alias("rdd_name"))
+    rows = stage_rows.select("stage_id", "name", "point", "parent_ids", F.size("rdds").alias("num_rdds")).join(found, "stage_id")
+    own = F.col("rdd_name").contains("adaptive")
+    point = F.coalesce("point", F.when(own, F.col("rdd_name")).otherwise(F.concat_ws("-", "rdd_name", "operator")))
+    rows = rows.select("stage_id", "name", "num_rdds", "parent_ids", "rdd_id", "operator", point.alias("point"), (F.col("point").isNotNull() | own).alias("named"))
+    return rows.where("named") if only_adaptive else rows
+
+
+def dependent_points(point_rows: DataFrame) -> DataFrame:
+    """(a, b), a before b: points, named or not, whose stages feed the same later stage.
+
+    Each parent of a stage is paired with the next one, by point, so any number of parents is chained.
+    """
+    parents = point_rows.select("stage_id", "point").join(
+        point_rows.select(F.col("stage_id").alias("child"), F.explode("parent_ids").alias("parent")), F.col("stage_id") == F.col("parent")
+    )
+    fed = parents.groupBy("child").agg(F.sort_array(F.collect_set("point")).alias("p")).where("size(p) > 1")
+    steps = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(F.get("p", i - 1).alias("a"), F.get("p", i).alias("b")))
+    return fed.select(F.explode(steps).alias("s")).select("s.*").distinct()
+
+
 def task_metrics(events: DataFrame, stage_rows: DataFrame) -> DataFrame:
     """A row per task of a stage: its last successful attempt, else its last; zeros where none is logged."""
     m, r, w = "t.`Task Metrics`", "t.`Task Metrics`.`Shuffle Read Metrics`", "t.`Task Metrics`.`Shuffle Write Metrics`"

@@ -49,7 +49,7 @@ def profile(tasks: DataFrame) -> DataFrame:
         guarded_correlation(F.col("run_time"), F.col("sr_records")).alias("corr_records"),
         F.count_if(F.col("blocked") > BLOCKED).alias("blocked_tasks"),
         max_over_mean(F.col("run_time")).alias("run_max_over_mean"),
-        F.max("gc_time").alias("gc_max"), F.min("gc_time").alias("gc_min"),
+        F.max("gc_time").alias("gc_max"), F.min("gc_time").alias("gc_min"), max_over_mean(F.col("gc_time")).alias("gc_max_over_mean"),
     )
     target = F.least(F.when(F.col("gc_q2") > 0, F.col("gc_q2")), F.when(F.col("gc_q3") > 0, F.col("gc_q3")))
     out = out.withColumn("gc_target", target)

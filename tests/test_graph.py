@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -77,3 +78,19 @@ def test_loaders(spark, tmp_path):
     (tmp_path / "bad").write_text("1 x\n")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         text.adjacency(text.read_lines(spark, str(tmp_path / "bad"))).collect()
+
+
+@pytest.mark.skipif("ADJACENCY_FILE" not in os.environ, reason="needs the citation graph without labels, 3,312 rows, as an adjacency list")
+def test_citation_graph(spark):
+    """Values by brute force: vertices, sum and greatest ranks after 1 and 10 iterations, and components."""
+    from loomwright.sources import text
+
+    edges = text.load_graph(spark, os.environ["ADJACENCY_FILE"], "adjLists")
+    for iterations, best in ((1, {3310: 23.1020238, 3311: 22.6707908, 3293: 9.2955952}), (10, {3311: 17.4455058, 3310: 14.2028514, 3293: 5.8542698})):
+        ranks = {r["id"]: r["rank"] for r in adjacency_pagerank(edges, iterations).collect()}
+        assert len(ranks) == 3264 and sum(ranks.values()) == pytest.approx(3264.0, abs=1e-6)
+        assert sorted(ranks, key=ranks.get)[-1:-4:-1] == list(best) and all(ranks[k] == pytest.approx(v, abs=1e-6) for k, v in best.items())
+    vertices = text.adjacency(text.read_lines(spark, os.environ["ADJACENCY_FILE"])).selectExpr("src AS id")
+    sizes = connected_components(edges, vertices).groupBy("component").count().collect()
+    assert len(sizes) == 438 and max(r["count"] for r in sizes) == 2110
+    assert connected_components(edges).select("component").distinct().count() == 390

@@ -70,3 +70,16 @@ def test_supports_fall_with_size(spark):
 
 def test_item_order_of_columns(spark):
     assert levelwise(baskets(lines(spark, LINES)), 0.5).where(F.size("items") < 1).count() == 0
+
+
+@pytest.mark.parametrize("options", [{"mu": 2}, {"mu": 1, "rho": 1}, {"most_paths": 1}, {"mu": 3, "rho": 3, "most_paths": 2, "partitions": 3}])
+def test_ways_to_split_the_projection(spark, options):
+    rows = [" ".join(str(i) for i in range(1, 9) if (k * 7 + i * i) % 5 > 1) for k in range(40)]
+    found = {tuple(r["items"]): r["support"] for r in projected(baskets(lines(spark, rows)), 0.1, **options).collect()}
+    assert found == brute(rows, 0.1)
+
+
+def test_deep_levels(spark):
+    rows = ["1 2 3 4 5 6", "1 2 3 4 5 6", "1 2 3 4 6", "2 3 5", "1 4 6"]
+    found = {tuple(sorted(r["items"])): r["support"] for r in levelwise(baskets(lines(spark, rows)), 0.3).collect()}
+    assert found == brute(rows, 0.3) and max(map(len, found)) == 6

@@ -61,3 +61,32 @@ def test_statistics(spark):
     assert one(spark, [(1, 1)], stats.sample_skewness(F.col("x"))) is None
     assert one(spark, [(0, 0)], stats.max_over_mean(F.col("x"))) == 1.0
     assert one(spark, [(4, 0)], F.max(stats.ratio(F.col("x"), F.col("y")))) is None
+
+
+def test_keys_by_dependency(spark, tmp_path):
+    """Of dependencies with equal bytes in an application the first counts; each has a listing of its own."""
+    parts = {"app1/1/1/part-0": "b\na\n", "app1/1/1/part-1": "a\n", "app1/1/2/part-0": "c\nc\nd\n", "app1/2/1/part-0": "long key\n", "app2/1/2/part-0": "z\ny\nx\n"}
+    for part, keys in parts.items():
+        path = tmp_path / "keydist" / part
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(keys)
+    from loomwright import cli
+
+    cli.run(spark, cli.parser().parse_args(["keys", "--input", str(tmp_path / "keydist")]))
+    out = tmp_path / "keydist-aggregated"
+    got = {str(d.relative_to(out)): [line for f in sorted(d.glob("part-*")) for line in f.read_text().split("\n")[:-1]] for d in out.glob("*/*/*")}
+    assert got == {"app=app1/stage=1/dependency=1": ["a 2", "b 1"], "app=app1/stage=2/dependency=1": ["long key 1"], "app=app2/stage=1/dependency=2": ["x 1", "y 1", "z 1"]}
+
+
+def test_views_and_named_queries(spark, tmp_path, capsys):
+    import json
+
+    from loomwright import cli
+
+    spark.range(5).write.parquet(str(tmp_path / "tables/numbers"))
+    spark.range(3).write.parquet(str(tmp_path / "tables/others"))
+    (tmp_path / "q.sql").write_text("SELECT count(*) FROM numbers n JOIN others o ON n.id = o.id")
+    assert text.register_views(spark, str(tmp_path / "tables")) == ["numbers", "others"]
+    cli.run(spark, cli.parser().parse_args(["query", "--input", str(tmp_path / "tables"), "--name", "q1", "--sql", str(tmp_path / "q.sql"), "--iterations", "2"]))
+    out = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
+    assert out["query"] == "q1" and len(out["milliseconds"]) == 2 and out["tables"] == ["numbers", "others"]

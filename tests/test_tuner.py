@@ -2,8 +2,10 @@ import json
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from loomwright.tuner import actions as act
+from loomwright.tuner import eventlog
 from loomwright.tuner import planner as pl
 from loomwright.tuner import profile as prof
 from loomwright.tuner.apply import Tuner, analyze, apply_action
@@ -54,7 +56,7 @@ def test_fetch_wait_and_custom_policies(spark):
 
 
 def instance(point, rdd, n, records, rdds=3, name="s", **more):
-    row = Row(stage_id=rdd, name=name, num_rdds=rdds, num_tasks=n, empty_tasks=0, records_read=records, spilled=more.get("spilled", 0), shuffle_write=100, gc_skew=None, gc_target=None, gc_partitions=None, run_skew=None, corr_bytes=0.0, corr_records=0.0, blocked_tasks=0)
+    row = Row(stage_id=rdd, name=name, num_rdds=rdds, num_tasks=n, empty_tasks=0, records_read=records, spilled=more.get("spilled", 0), shuffle_write=100, gc_skew=None, gc_target=None, gc_partitions=None, run_skew=None, corr_bytes=0.0, corr_records=0.0, blocked_tasks=0, run_max_over_mean=more.get("mm", 1.0), gc_max_over_mean=more.get("gc_mm", 1.0), gc_max=8, gc_min=2)
     return pl.Instance(point, rdd, [row])
 
 
@@ -99,6 +101,14 @@ def test_event_log(spark, tmp_path):
         submit(0, 4, [rdd(1, {"id": "1", "name": "Exchange"}), rdd(2, None)]), submit(0, 9, [], 1), submit(1, 1, [rdd(3, {"id": "2", "name": "map"})]),
         end(0, 0, 0, 1, "ExecutorLost"), end(0, 0, 1, 10), end(0, 1, 0, 10), end(0, 2, 0, 10), end(1, 0, 0, 5), {"Event": "SparkListenerJobStart"},
     ]
+    # Files are named by the cluster manager; the status file beside rolled parts is no log.
+    for name in ("application_1700_0001", "app-20240101-0000", "local-1700", "eventlog_v2_x/events_1_x"):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("\n".join(map(json.dumps, events)))
+        assert [(x.kind, x.num_partitions) for x in analyze(spark, str(path))["here"]] == [(act.PARTITIONS, 3), (act.NONE, 0)]
+    (tmp_path / "eventlog_v2_x/appstatus_x").write_text("\n".join(map(json.dumps, events)))
+    assert eventlog.read_events(spark, str(tmp_path / "eventlog_v2_x")).count() == len(events) - 1
     (tmp_path / "log").write_text("\n".join(map(json.dumps, events)))
     plan = analyze(spark, str(tmp_path / "log"))
     assert [(x.kind, x.num_partitions) for x in plan["here"]] == [(act.PARTITIONS, 3), (act.NONE, 0)]
@@ -108,6 +118,10 @@ def test_event_log(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 3
     tuner.add_policy(lambda i: act.Action(i.point, act.WARN))
     assert tuner.cursor.at == {"here": 0}
+    counted = Tuner(spark, str(tmp_path / "log")).aggregate(spark.range(10).selectExpr("id % 4 AS k"), "here", ["k"], F.count("*").alias("n"))
+    assert sorted(map(tuple, counted.collect())) == [(0, 3), (1, 3), (2, 2), (3, 2)]
+    (tmp_path / "lines").write_text("a\nb\n")
+    assert Tuner(spark, str(tmp_path / "log")).read_lines(str(tmp_path / "lines"), "here").rdd.getNumPartitions() == 3
     joined = tuner.join(spark.range(5), spark.range(3, 9), "here", "id")
     assert sorted(r["id"] for r in joined.collect()) == [3, 4]
 
@@ -115,3 +129,23 @@ def test_event_log(spark, tmp_path):
 @pytest.mark.parametrize("policies", [pl.DEFAULT, pl.LEGACY])
 def test_policy_sets(policies):
     assert chosen(instance("p", 1, 10, 5, spilled=250).stage, policies).num_partitions == (35 if policies is pl.DEFAULT else 25)
+
+
+def test_legacy_policies():
+    legacy = lambda **more: chosen(instance("p", 1, 10, 5, **more).stage, pl.LEGACY)
+    assert legacy(gc_mm=2.0).kind == act.NONE and legacy(gc_mm=2.1).num_partitions == 40
+    assert legacy(mm=1.9).kind == act.NONE and legacy(mm=2.1).message == "inherent"
+    rows = [instance("p", 1, 10, 5, rdds=n).stage for n in (2, 5, 3)]
+    assert pl.Instance("p", 1, rows, pl.most_rdds).stage.num_rdds == 5
+
+
+def test_points_and_dependencies(spark):
+    """Named and unnamed points, a scan, and three parents that are chained."""
+    rdd = "array<struct<`RDD ID`: bigint, Name: string, Scope: string, `Parent IDs`: array<bigint>, Callsite: string>>"
+    rows = [(1, "s", 2, "own", [], [(11, "x", '{"id":"1","name":"Exchange"}', [], "")]), (2, "s", 2, None, [], [(12, "y", '{"id":"1","name":"FileScan text"}', [], "")]),
+            (3, "s", 2, None, [], [(13, "adaptive z", '{"id":"1","name":"join"}', [], "")]), (4, "s", 2, "end", [1, 2, 3], [(14, "x", '{"id":"1","name":"Exchange"}', [], "")])]
+    stages = spark.createDataFrame(rows, f"stage_id long, name string, num_tasks int, point string, parent_ids array<bigint>, rdds {rdd}")
+    found = eventlog.points(stages, eventlog.stage_rdds(stages))
+    assert {r["stage_id"]: (r["point"], r["operator"], r["named"]) for r in found.collect()} == {1: ("own", "Exchange", True), 2: ("y-Scan", "Scan", False), 3: ("adaptive z", "join", True), 4: ("end", "Exchange", True)}
+    assert sorted(map(tuple, eventlog.dependent_points(found).collect())) == [("adaptive z", "own"), ("own", "y-Scan")]
+    assert {r["stage_id"] for r in eventlog.points(stages, eventlog.stage_rdds(stages), only_adaptive=True).collect()} == {1, 3, 4}
