@@ -170,10 +170,13 @@ def near_dups(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SA
     null, zero or holds null or non-finite components, or whose label is null, links with nothing; vectors
     of different lengths do not link. Rows that repeat a vec_id count as one vector (the smallest of
     them); a null vec_id gives one row with a null component. An empty table gives no rows; further
-    columns are ignored. Equal vectors of a label are compared once, with their number as weight.
+    columns are ignored. Equal vectors of a label (told by 128 bits of hash) are compared once, with their
+    number as weight.
     """
     rows = vectors.select("vec_id", F.struct("label", "embedding").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v.*")
-    good = rows.where(_usable())
+    # From a checkpoint, so that the vectors are shuffled once for all that reads them below.
+    rows = cut(rows.select("*", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(7), "embedding").alias("h2"), F.expr(_usable()).alias("usable")))
+    good = rows.where("usable")
     lengths = good.groupBy(F.size("embedding").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()
     plain = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not lengths:
@@ -188,7 +191,9 @@ def near_dups(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SA
         if picked.num_rows:
             indexes[dims] = fit(_matrix(picked["embedding"].combine_chunks(), dims), threshold, centroids_for(n))
     shared = vectors.sparkSession.sparkContext.broadcast(indexes)
-    classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
+    classes = good.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    # The least vector of a class brings the components, so that they are not carried through the sums.
+    classes = cut(good.select("vec_id", "embedding").join(classes, F.col("vec_id") == F.col("rep")).drop("vec_id"))
     kind = dict(classes.dtypes)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +243,8 @@ def near_dups(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SA
     components = connected_components(found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")))
     known_classes = classes.join(counts, classes["rep"] == counts["id"], "left").drop("id")
     known_classes = known_classes.join(components, known_classes["rep"] == components["id"], "left").drop("id")
-    known_classes = known_classes.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(known_classes, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")) & F.expr(_usable()), "left")
+    known_classes = known_classes.select(F.col("label").alias("l"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = rows.drop("embedding").join(known_classes, (F.col("label") == F.col("l")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("usable"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
