@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from loomwright.llm import urls
@@ -59,3 +61,49 @@ def test_odd_tables(spark):
     assert judged(spark, []) == {}
     rows = judged(spark, ["http://a.com/x"] * 3 + ["http://a.com/" + "y" * 100_000])
     assert len(rows) == 4 and len({rows[i]["score"] for i in range(3)}) == 1
+
+
+RULE_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM s),
+r(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
+f AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM p JOIN (SELECT *, split_part(rule, '/', 1) AS domain, substr(rule, strpos(rule, '/')) AS start FROM r)
+      ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, verdict FROM p LEFT JOIN f USING (page_id) ORDER BY page_id
+"""
+
+
+def plain_score(model, host, path):
+    """The score by loops over characters: each distinct n-gram's bucket from its hash in plain integers."""
+    top = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+        return x ^ x >> 31
+
+    found = set()
+    for salt, text in ((1, f"^{host}$"), (2, f"^{path}$")):
+        for n in (3, 4, 5):
+            for k in range(len(text) - n + 1):
+                h = 0
+                for c in text[k : k + n]:
+                    h = (h * 0xD6E8FEB86659FD93 + mixed(ord(c) + (salt << 32))) & top
+                found.add(mixed(h + salt * n & top) >> 64 - 14)
+    return 1 / (1 + math.exp(-(sum(model.weights[i] for i in found) / math.sqrt(max(len(found), 1)) + model.bias)))
+
+
+def test_every_page_against_sql_and_a_plain_scorer(spark):
+    import oracle
+
+    sf = "/root/testdata/sf0.01"
+    want = oracle.connect(sf).sql(RULE_SQL).fetchall()
+    got = {r["page_id"]: r for r in urls.op5_url_filter(spark, sf).collect()}
+    model = urls.UrlModel()
+    assert len(got) == len(want) and {r["rule"] for r in got.values()} >= {"com/en/", "net/de/", "org/es/", None}
+    for page_id, host, path, rule, verdict in want:
+        r = got[page_id]
+        score = plain_score(model, host, path)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and abs(r["score"] - score) < 1e-9
+        assert r["verdict"] == (verdict or ("block" if score >= 0.5 else "allow"))
