@@ -11,18 +11,24 @@ from ..session import cut
 CUT_EVERY = 5
 
 
+def _folded(edges: DataFrame) -> DataFrame:
+    """(src, dst, share): parallel edges as one, with their part of all edges of ``src``."""
+    links = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
+    # From a checkpoint, so that both sides of the join are shuffled for it and a hub can be split.
+    degree = cut(links.groupBy("src").agg(F.sum("n").alias("degree")))
+    return cut(links.join(degree, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("share")))
+
+
 def adjacency_pagerank(edges: DataFrame, iterations: int = 10, vertices: DataFrame | None = None) -> DataFrame:
     """(id, rank) after ``rank = 0.15 + 0.85 * sum of rank / degree over in-links``.
 
     Ranks begin at 1 for each vertex with a row of links. A vertex without in-links has no rank after an
     iteration and passes nothing on; parallel edges count each. Ranks are not normalised.
     """
-    # From a checkpoint, so that both sides of the join are shuffled for it and a hub can be split.
-    degree = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")))
-    links = cut(edges.join(degree, "src"))
-    ranks = (vertices.select("id") if vertices is not None else degree.select(F.col("src").alias("id"))).distinct().withColumn("rank", F.lit(1.0))
+    links = _folded(edges)
+    ranks = (vertices.select("id") if vertices is not None else links.select(F.col("src").alias("id"))).distinct().withColumn("rank", F.lit(1.0))
     for k in range(iterations):
-        passed = links.join(ranks, links["src"] == ranks["id"]).select("dst", (F.col("rank") / F.col("degree")).alias("part"))
+        passed = links.join(ranks, links["src"] == ranks["id"]).select("dst", (F.col("rank") * F.col("share")).alias("part"))
         ranks = passed.groupBy(F.col("dst").alias("id")).agg((F.lit(0.15) + F.lit(0.85) * F.sum("part")).alias("rank"))
         if (k + 1) % CUT_EVERY == 0:
             ranks = cut(ranks)
@@ -34,13 +40,11 @@ def static_pagerank(edges: DataFrame, iterations: int = 10, reset: float = 0.15)
 
     A vertex without in-links gets ``reset``.
     """
-    # From a checkpoint, so that both sides of the join are shuffled for it and a hub can be split.
-    degree = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")))
-    links = cut(edges.join(degree, "src"))
+    links = _folded(edges)
     vertices = cut(edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct())
     ranks = vertices.withColumn("rank", F.lit(1.0))
     for k in range(iterations):
-        passed = links.join(ranks, links["src"] == ranks["id"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") / F.col("degree")).alias("sum"))
+        passed = links.join(ranks, links["src"] == ranks["id"]).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("share")).alias("sum"))
         ranks = vertices.join(passed, vertices["id"] == passed["to"], "left").select("id", (F.lit(reset) + F.lit(1 - reset) * F.coalesce("sum", F.lit(0.0))).alias("rank"))
         if (k + 1) % CUT_EVERY == 0:
             ranks = cut(ranks)

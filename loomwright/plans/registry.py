@@ -73,14 +73,15 @@ def bad_token_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nation_edges(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").where("l_tax >= 0.08 AND l_quantity >= 40").select("l_orderkey", "l_suppkey")
+    """From the customer's to the supplier's nation, an edge for each line, parallel ones too."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     orders, customer, supplier = (table(spark, d, t) for t in ("orders", "customer", "supplier"))
     rows = (
         line.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         .join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     )
-    return rows.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).distinct()
+    return rows.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst"))
 
 
 def _trade_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -108,13 +109,12 @@ def pagerank_reset_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").where("l_quantity = 50 AND l_discount >= 0.09 AND l_tax >= 0.06")
-    edges = line.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
-    return components_of(edges)
+    """Many components: each customer with all their orders (1,000,000,000 + key)."""
+    return components_of(table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("src"), (F.col("o_orderkey").cast("long") + 1_000_000_000).alias("dst")))
 
 
 def connected_components_all(spark: SparkSession, d: str) -> DataFrame:
-    """Components of suppliers and parts over every row of lineitem (too large for a recursive SQL twin)."""
+    """A giant component: suppliers and parts (1,000,000 + key) over every row of lineitem."""
     edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
     return components_of(edges)
 
@@ -261,13 +261,15 @@ def _itemset_sql(largest: int = 6) -> str:
     return f"WITH {_BASKETS}\n" + "\nUNION ALL ".join(parts)
 
 
-_EDGES = """e AS MATERIALIZED (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_tax >= 0.08 AND l_quantity >= 40),
+_NATIONS = """e AS MATERIALIZED (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+g AS (SELECT src, count(*) AS degree FROM e GROUP BY src)"""
+_TRADE = """t AS MATERIALIZED (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a, CAST(l_suppkey AS BIGINT) + 1000000000 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS MATERIALIZED (SELECT a AS src, b AS dst FROM t UNION ALL SELECT b, a FROM t),
 g AS (SELECT src, count(*) AS degree FROM e GROUP BY src)"""
 
 
-def _pagerank_sql(keep_all: bool) -> str:
+def _pagerank_sql(edges: str, keep_all: bool) -> str:
     if keep_all:
         steps = ["r0 AS (SELECT id, 1.0::DOUBLE AS rank FROM (SELECT src AS id FROM e UNION SELECT dst FROM e))"]
         step = "r{1} AS MATERIALIZED (SELECT v.id, 0.15 + 0.85 * coalesce(sum(r.rank / g.degree), 0) AS rank FROM r0 v LEFT JOIN e ON e.dst = v.id LEFT JOIN r{0} r ON r.id = e.src LEFT JOIN g ON g.src = e.src GROUP BY v.id)"
@@ -275,7 +277,15 @@ def _pagerank_sql(keep_all: bool) -> str:
         steps = ["r0 AS (SELECT src AS id, 1.0::DOUBLE AS rank FROM g)"]
         step = "r{1} AS MATERIALIZED (SELECT e.dst AS id, 0.15 + 0.85 * sum(r.rank / g.degree) AS rank FROM e JOIN r{0} r ON r.id = e.src JOIN g ON g.src = e.src GROUP BY e.dst)"
     steps += [step.format(k, k + 1) for k in range(PAGERANK_ITERATIONS)]
-    return f"WITH {_EDGES},\n" + ",\n".join(steps) + f"\nSELECT id, round(rank, 6) AS rank FROM r{PAGERANK_ITERATIONS}"
+    return f"WITH {edges},\n" + ",\n".join(steps) + f"\nSELECT id, round(rank, 6) AS rank FROM r{PAGERANK_ITERATIONS}"
+
+
+def _components_sql(edges: str, rounds: int = 12) -> str:
+    """Least labels passed along the edges of ``e`` (a, b), for graphs in which no path needs more than ``rounds`` steps."""
+    steps = ["u AS MATERIALIZED (SELECT a AS s, b AS t FROM e UNION SELECT b, a FROM e)", "c0 AS MATERIALIZED (SELECT DISTINCT s AS id, s AS component FROM u)"]
+    step = "c{1} AS MATERIALIZED (SELECT id, min(component) AS component FROM (SELECT id, component FROM c{0} UNION ALL SELECT u.s, c.component FROM u JOIN c{0} c ON c.id = u.t) GROUP BY id)"
+    steps += [step.format(k, k + 1) for k in range(rounds)]
+    return f"WITH e AS MATERIALIZED ({edges}),\n" + ",\n".join(steps) + f"\nSELECT id, component FROM c{rounds}"
 
 
 _PROFILE = f"""{_TASKS},
@@ -309,14 +319,16 @@ ORACLE_SQL = {
     "parsed_baskets": """SELECT CASE WHEN a = b THEN a::VARCHAR ELSE least(a, b) || ',' || greatest(a, b) END AS items, count(*) AS n
         FROM (SELECT CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) AS a, p_size AS b FROM part) GROUP BY 1""",
     "bad_token_count": "SELECT count(*) AS bad FROM (SELECT unnest(string_split(p_name || ' ' || p_size, ' ')) AS t FROM part) WHERE TRY_CAST(t AS INTEGER) IS NULL",
-    "pagerank_10": _pagerank_sql(False),
-    "pagerank_reset": _pagerank_sql(True),
-    "connected_components": """WITH RECURSIVE e AS (SELECT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.09 AND l_tax >= 0.06),
-        u AS (SELECT a AS s, b AS t FROM e UNION SELECT b, a FROM e),
-        r(id, seen) AS (SELECT s, s FROM u UNION SELECT r.id, u.t FROM r JOIN u ON r.seen = u.s)
-        SELECT id, min(seen) AS component FROM r GROUP BY id""",
-    "adjacency_edges": f"WITH {_EDGES} SELECT src, dst FROM e",
-    "edge_list": f"WITH {_EDGES} SELECT src, dst FROM e",
+    "pagerank_10": _pagerank_sql(_NATIONS, False),
+    "pagerank_10_all": _pagerank_sql(_TRADE, False),
+    "pagerank_reset": _pagerank_sql(_NATIONS, True),
+    "pagerank_reset_all": _pagerank_sql(_TRADE, True),
+    "connected_components": _components_sql("SELECT CAST(o_custkey AS BIGINT) AS a, CAST(o_orderkey AS BIGINT) + 1000000000 AS b FROM orders"),
+    "connected_components_all": _components_sql("SELECT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem"),
+    "adjacency_edges": f"WITH {_NATIONS} SELECT src, dst FROM e",
+    "adjacency_edges_all": f"WITH {_TRADE} SELECT src, dst FROM e",
+    "edge_list": f"WITH {_NATIONS} SELECT src, dst FROM e",
+    "edge_list_all": f"WITH {_TRADE} SELECT src, dst FROM e",
     "byte_count_per_key": "SELECT source || lang AS key, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1",
     "key_frequency_sorted": "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events GROUP BY 1 ORDER BY 1",
     "records_per_key_cdf": """WITH f AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), k AS (SELECT n, count(*) AS keys FROM f GROUP BY n)

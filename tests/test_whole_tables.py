@@ -1,4 +1,4 @@
-"""Registered queries that run over whole tables and have no SQL twin, against brute force."""
+"""Graph queries over whole tables against brute force, apart from their SQL twins."""
 
 import pyarrow as pa
 import pyarrow.parquet as pq
