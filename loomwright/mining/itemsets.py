@@ -35,10 +35,11 @@ def item_frequencies(baskets: DataFrame, threshold: int) -> DataFrame:
 def levelwise(baskets: DataFrame, min_support: float, partitions: list[int] | None = None) -> DataFrame:
     """Level by level over the vertical table (prefix, last, tid), a prefix being the id of a frequent set.
 
-    Sets of a level that share all but the last item meet in their baskets by an equi-join on (tid,
-    prefix), once a level; a longer set goes on only if its last two items are a frequent pair. Supports
-    are partial counts before the shuffle. Only the number of frequent sets of a level reaches the
-    driver. ``partitions`` gives the partitions of each level's join, the last one for all further levels.
+    Sets of a level that share all but the last item meet in their baskets by one grouping on (tid,
+    prefix), whose groups are no longer than a basket; a longer set goes on only if its last two items
+    are a frequent pair. Supports are partial counts before the shuffle. Only the number of frequent
+    sets of a level reaches the driver. ``partitions`` gives the partitions of each level's grouping, the
+    last one for all further levels.
     """
     baskets = cut(baskets)
     _, threshold = min_count(baskets, min_support)
@@ -50,8 +51,9 @@ def levelwise(baskets: DataFrame, min_support: float, partitions: list[int] | No
     while found > 1:
         if partitions:
             level = level.repartition(partitions[min(depth, len(partitions) - 1)], "tid", "prefix")
-        level = cut(level)
-        pairs = level.join(level.withColumnRenamed("last", "next"), ["tid", "prefix"]).where("last < next")
+        meeting = level.groupBy("tid", "prefix").agg(F.sort_array(F.collect_list("last")).alias("lasts")).where("size(lasts) > 1")
+        pairs = meeting.select("tid", "prefix", "lasts", F.posexplode("lasts").alias("at", "last")).where("at < size(lasts) - 1")
+        pairs = pairs.select("tid", "prefix", "last", F.explode(F.slice("lasts", F.col("at") + 2, F.size("lasts"))).alias("next"))
         if doubles is not None:
             pairs = pairs.join(doubles, ["last", "next"], "left_semi")
         pairs = cut(pairs.select("prefix", "last", "next", "tid"))
@@ -128,21 +130,21 @@ def projected(baskets: DataFrame, min_support: float, rho: int = 2, mu: int = 0,
     while True:
         rows = rows.select("suffix", "path", "count", F.posexplode("path").alias("at", "item"))
         rows = rows.select(F.concat(F.array("item"), "suffix").alias("suffix"), F.slice("path", F.lit(1), F.col("at")).alias("path"), "count")
-        rows = rows.groupBy("suffix", "path").agg(F.sum("count").alias("count"))
+        rows = cut(rows.groupBy("suffix", "path").agg(F.sum("count").alias("count")))
         sums = cut(rows.groupBy("suffix").agg(F.sum("count").alias("support"), F.count_if(F.size("path") > 0).alias("paths")).where(F.col("support") > threshold))
         level = sums.select(F.sort_array("suffix").alias("items"), "support")
         out = level if out is None else out.union(level)
         depth += 1
-        rows = rows.where(F.size("path") > 0).join(sums.where("paths > 0").select("suffix", "paths"), "suffix")
+        rows = rows.where(F.size("path") > 0)
         if depth < rho:
-            rows = cut(rows.drop("paths"))
+            rows = rows.join(sums.where("paths > 0").select("suffix"), "suffix")
             continue
-        rows = cut(rows)
-        here = rows.where(F.col("paths") <= most_paths).drop("paths")
+        here = rows.join(sums.where((F.col("paths") > 0) & (F.col("paths") <= most_paths)).select("suffix"), "suffix")
         small = here if small is None else small.union(here)
-        rows = rows.where(F.col("paths") > most_paths).drop("paths")
-        if not rows.limit(1).count():
+        large = sums.where(F.col("paths") > most_paths).select("suffix")
+        if not large.limit(1).count():
             break
+        rows = rows.join(large, "suffix")
 
     def mine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = list(_grow([(tuple(p), int(c)) for p, c in zip(pdf["path"], pdf["count"], strict=True)], tuple(key[0]), threshold))
