@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import tokenizer_path
+from .tokens import piece_encoder, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters looked at on each side of a split region, so that no pre-token there ends early.
@@ -36,137 +36,194 @@ class Counter(dict):
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.spans = regex.compile(public_tokenizers.PATTERN).finditer
         self.encoding = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode = piece_encoder(self.encoding) or (lambda piece: self.encoding.encode_ordinary(piece.decode()))
         self.limit = limit
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        value = len(self.encoding._core_bpe.encode_single_piece(piece.encode("utf-8", "replace")))
+        value = len(self.encode(piece.encode("utf-8", "replace")))
         if len(piece) < 64:
             self[piece] = value
         return value
 
 
 class SegmentTree:
-    """Sums over an array of counts that lets ranges of leaves be replaced, again and again.
+    """Sums over pre-tokens that lets ranges of them be replaced, again and again.
 
-    The leaves lie in blocks of at most ``2 * width``; a block that changes is summed anew, and a binary
-    tree over the blocks carries the sums to the root. A second one carries the lengths of the blocks, so
-    that a leaf is found where it lies now. When a block would outgrow its bound, or most blocks have
-    run empty, all leaves are dealt anew.
+    The leaves lie in blocks of at most ``2 * width``, with their token counts, lengths and text; a binary
+    tree over the blocks carries the numbers of leaves, tokens and characters, by which a leaf or a
+    character is found where it lies now. A replacement reads and writes the blocks that it meets and the
+    sums above them. Where a block would outgrow its bound it is cut, and the sums over the blocks (not
+    the leaves) are built anew, as they are when most blocks have run empty.
     """
 
-    def __init__(self, counts: np.ndarray, width: int = 64):
+    LEAVES, TOKENS, CHARS = range(3)
+
+    def __init__(self, counts: np.ndarray, width: int = 64, lengths: np.ndarray | None = None, text: str = ""):
         self.width = width
-        self._deal(counts)
-
-    def _deal(self, counts: np.ndarray) -> None:
-        width = self.width
-        blocks = max(1, -(-len(counts) // width))
-        self.blocks = [counts[i * width : (i + 1) * width] for i in range(blocks)]
-        self.size = 1 << (blocks - 1).bit_length()
-        padded = np.zeros(self.size * width, np.int64)
-        padded[: len(counts)] = counts
-        self.nodes = self._tree(padded.reshape(self.size, width).sum(1))
-        self.lengths = self._tree(np.clip(len(counts) - width * np.arange(self.size), 0, width))
-
-    def _tree(self, level: np.ndarray) -> np.ndarray:
-        nodes = np.zeros(2 * self.size, np.int64)
-        while True:
-            nodes[len(level) : 2 * len(level)] = level
-            if len(level) == 1:
-                return nodes
-            level = level.reshape(-1, 2).sum(1)
+        self._build(*self._cut(counts, np.zeros(len(counts), np.int64) if lengths is None else lengths, text))
+
+    def _cut(self, counts: np.ndarray, lengths: np.ndarray, text: str) -> tuple[list, list, list, np.ndarray]:
+        """Blocks of ``width`` leaves: their counts, lengths, texts and sums."""
+        if not len(counts):
+            return [counts], [lengths], [text], np.zeros((1, 3), np.int64)
+        at = np.append(np.arange(0, len(counts), self.width), len(counts))
+        chars = np.concatenate([[0], np.cumsum(lengths)])[at]
+        sums = np.stack([np.diff(at), np.add.reduceat(counts, at[:-1]), np.diff(chars)], 1)
+        at, chars = at.tolist(), chars.tolist()
+        spans = list(zip(at, at[1:], strict=False))
+        return [counts[i:j] for i, j in spans], [lengths[i:j] for i, j in spans], [text[i:j] for i, j in zip(chars, chars[1:], strict=False)], sums
+
+    def _build(self, blocks: list, lengths: list, texts: list, sums: np.ndarray) -> None:
+        self.blocks, self.lengths, self.texts = blocks, lengths, texts
+        self.size = 1 << (len(blocks) - 1).bit_length()
+        self.nodes = np.zeros((2 * self.size, 3), np.int64)
+        self.nodes[self.size : self.size + len(blocks)] = sums
+        half = self.size // 2
+        while half:
+            self.nodes[half : 2 * half] = self.nodes[2 * half : 4 * half].reshape(half, 2, 3).sum(1)
+            half //= 2
 
     @property
     def total(self) -> int:
-        return int(self.nodes[1])
+        return int(self.nodes[1, self.TOKENS])
 
-    def __len__(self) -> int:
-        return int(self.lengths[1])
+    @property
+    def chars(self) -> int:
+        return int(self.nodes[1, self.CHARS])
 
-    def _find(self, leaf: int) -> tuple[int, int]:
-        """The block of a leaf and its place there; past all leaves, the end of the last block."""
-        if leaf >= len(self):
-            return len(self.blocks) - 1, len(self.blocks[-1])
-        node = 1
+    def __len__(self) -> int:
+        return int(self.nodes[1, self.LEAVES])
+
+    def _find(self, at: int, by: int) -> tuple[int, np.ndarray]:
+        """The block of the leaf or character ``at`` and the sums before it; past all of them, the last block."""
+        if at >= self.nodes[1, by]:
+            block = len(self.blocks) - 1
+            return block, self.nodes[1] - self.nodes[self.size + block]
+        node, before = 1, np.zeros(3, np.int64)
         while node < self.size:
             node *= 2
-            if leaf >= self.lengths[node]:
-                leaf -= int(self.lengths[node])
+            if at >= before[by] + self.nodes[node, by]:
+                before += self.nodes[node]
                 node += 1
-        return node - self.size, leaf
-
-    def _put(self, block: int, counts: np.ndarray) -> None:
-        self.blocks[block] = counts
-        for nodes, value in ((self.nodes, int(counts.sum())), (self.lengths, len(counts))):
-            node = self.size + block
-            delta = value - int(nodes[node])
-            while node and delta:
-                nodes[node] += delta
-                node >>= 1
-
-    def replace(self, start: int, stop: int, counts: np.ndarray) -> None:
-        """Put ``counts`` in place of the present leaves from start to stop."""
-        first, begin = self._find(start)
-        last, end = self._find(stop - 1) if stop > start else (first, begin - 1)
-        before, after = self.blocks[first][:begin], self.blocks[last][end + 1 :]
-        if len(before) + len(counts) + len(after) > 2 * self.width:
-            self._deal(np.concatenate([*self.blocks[:first], before, counts, after, *self.blocks[last + 1 :]]))
+        return node - self.size, before
+
+    def leaf_at(self, char: int) -> tuple[int, int]:
+        """The leaf that holds a character, and where it begins; past the text, the number of leaves and the text's end."""
+        if char >= self.chars:
+            return len(self), self.chars
+        block, before = self._find(char, self.CHARS)
+        ends = np.cumsum(self.lengths[block])
+        k = int(np.searchsorted(ends, char - before[self.CHARS], side="right"))
+        return int(before[self.LEAVES]) + k, int(before[self.CHARS]) + (int(ends[k - 1]) if k else 0)
+
+    def start_of(self, leaf: int) -> int:
+        block, before = self._find(leaf, self.LEAVES)
+        return int(before[self.CHARS] + self.lengths[block][: leaf - int(before[self.LEAVES])].sum())
+
+    def slice(self, start: int, stop: int) -> str:
+        """The characters from start to stop."""
+        block, before = self._find(start, self.CHARS)
+        at, out = int(before[self.CHARS]), []
+        while at < stop and block < len(self.texts):
+            out.append(self.texts[block][max(0, start - at) : stop - at])
+            at += len(self.texts[block])
+            block += 1
+        return "".join(out)
+
+    def _put(self, block: int, counts: np.ndarray, lengths: np.ndarray, text: str) -> None:
+        self.blocks[block], self.lengths[block], self.texts[block] = counts, lengths, text
+        node = self.size + block
+        delta = np.array([len(counts), counts.sum(), lengths.sum()]) - self.nodes[node]
+        while node:
+            self.nodes[node] += delta
+            node >>= 1
+
+    def replace(self, start: int, stop: int, counts: np.ndarray, lengths: np.ndarray | None = None, text: str = "") -> None:
+        """Put new leaves in place of the present ones from start to stop."""
+        lengths = np.zeros(len(counts), np.int64) if lengths is None else lengths
+        first, before = self._find(start, self.LEAVES)
+        begin = start - int(before[self.LEAVES])
+        last, end = first, begin
+        if stop > start:
+            last, before = self._find(stop - 1, self.LEAVES)
+            end = stop - int(before[self.LEAVES])
+        text = self.texts[first][: int(self.lengths[first][:begin].sum())] + text + self.texts[last][int(self.lengths[last][:end].sum()) :]
+        counts = np.concatenate([self.blocks[first][:begin], counts, self.blocks[last][end:]])
+        lengths = np.concatenate([self.lengths[first][:begin], lengths, self.lengths[last][end:]])
+        sums = self.nodes[self.size : self.size + len(self.blocks)]
+        if len(counts) > 2 * self.width:
+            *parts, inner = self._cut(counts, lengths, text)
+            joined = [old[:first] + part + old[last + 1 :] for old, part in zip((self.blocks, self.lengths, self.texts), parts, strict=True)]
+            self._build(*joined, np.concatenate([sums[:first], inner, sums[last + 1 :]]))
             return
-        self._put(first, np.concatenate([before, counts, after]))
+        self._put(first, counts, lengths, text)
         for b in range(first + 1, last + 1):
-            self._put(b, counts[:0])
+            self._put(b, counts[:0], lengths[:0], "")
         if len(self) * 4 < len(self.blocks) * self.width and len(self.blocks) > 1:
-            self._deal(np.concatenate(self.blocks))
+            full = [b for b in range(len(self.blocks)) if len(self.blocks[b])] or [0]
+            if len(full) * 2 <= len(self.blocks):
+                self._build(*[[old[b] for b in full] for old in (self.blocks, self.lengths, self.texts)], sums[full])
 
 
 class CountedText:
-    """A text with the boundaries and token counts of its pre-tokens."""
+    """A text as a tree of its pre-tokens; edits leave all but their surroundings as it is."""
 
     def __init__(self, text: str, counter: Counter):
-        self.text, self.counter = text, counter
-        pieces = counter.pieces(text)
-        self.counts = np.fromiter(map(counter.__getitem__, pieces), np.int64, len(pieces))
-        self.ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        self.tree = SegmentTree(self.counts)
+        self.counter = counter
+        self.tree = self._leaves(counter.pieces(text), text, SegmentTree)
+
+    def _leaves(self, pieces: list[str], text: str, put):
+        counts = np.fromiter(map(self.counter.__getitem__, pieces), np.int64, len(pieces))
+        return put(counts, lengths=np.fromiter(map(len, pieces), np.int64, len(pieces)), text=text)
 
     @property
     def tokens(self) -> int:
         return self.tree.total
 
+    @property
+    def text(self) -> str:
+        """The whole text as it is now, joined anew."""
+        return "".join(self.tree.texts)
+
+    @property
+    def counts(self) -> np.ndarray:
+        """The token counts of all pre-tokens, joined anew."""
+        return np.concatenate(self.tree.blocks)
+
     def edit(self, start: int, stop: int, new: str) -> int:
-        """Replace the characters from start to stop; returns the number of pre-tokens encoded again."""
-        old_ends, n = self.ends, len(self.text)
-        # Two pre-tokens before the edit are split again: the pattern looks one character ahead.
-        first = max(0, int(np.searchsorted(old_ends, start, side="left")) - 1)
-        begin = int(old_ends[first - 1]) if first else 0
-        text = self.text[:start] + new + self.text[stop:]
-        shift, reach = len(new) - (stop - start), CONTEXT
+        """Replace the characters from start to stop; returns the number of pre-tokens encoded again.
+
+        Reads the text from two pre-tokens before the edit, as the pattern looks one character ahead, to
+        where the new split meets an old boundary, so that the cost follows the edit, not the text.
+        """
+        tree, size = self.tree, self.tree.chars
+        first, begin = tree.leaf_at(start - 1) if start else (0, 0)
+        if first:
+            first -= 1
+            begin = tree.start_of(first)
+        head, shift, reach = tree.slice(begin, start) + new, len(new) - (stop - start), CONTEXT
         while True:
-            limit = min(len(text), start + len(new) + reach)
-            ends, found, last = [], [], None
-            for m in self.counter.spans(text, begin, limit):
-                if m.end() >= limit and limit < len(text):
+            upto = min(size, stop + reach)
+            window = head + tree.slice(stop, upto)
+            found, last = [], None
+            for m in self.counter.spans(window):
+                if m.end() >= len(window) and upto < size:
                     break
-                ends.append(m.end())
                 found.append(m.group())
                 # After the edit, a common boundary behind which the same text follows ends the search.
-                if m.end() >= start + len(new) + 1:
-                    old = m.end() - shift
-                    at = int(np.searchsorted(old_ends, old))
-                    if at < len(old_ends) and old_ends[at] == old:
-                        last = at + 1
+                if m.end() > len(head):
+                    old = begin + m.end() - shift
+                    leaf, at = tree.leaf_at(old)
+                    if at == old:
+                        last = leaf
                         break
-            if last is not None or limit == len(text):
+            if last is not None or upto == size:
                 break
             reach *= 4
-        last = len(old_ends) if last is None else last
-        counts = np.fromiter(map(self.counter.__getitem__, found), np.int64, len(found))
-        self.tree.replace(first, last, counts)
-        self.text = text
-        self.counts = np.concatenate([self.counts[:first], counts, self.counts[last:]])
-        self.ends = np.concatenate([old_ends[:first], np.array(ends, np.int64), old_ends[last:] + shift])
+        last = len(tree) if last is None else last
+        self._leaves(found, "".join(found), lambda counts, **new: tree.replace(first, last, counts, **new))
         return len(found)
 
 
@@ -196,7 +253,7 @@ def count_tokens(docs: DataFrame, edit=middle_edit, path: str | None = None) ->
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = value.as_py() or ""
                 counted = CountedText(text, counter)
-                before, pieces = counted.tokens, len(counted.counts)
+                before, pieces = counted.tokens, len(counted.tree)
                 again = counted.edit(*edit(text))
                 rows.append((doc_id, before, pieces, counted.tokens, again))
             if rows:

@@ -26,6 +26,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def piece_encoder(encoding):
+    """The function from the bytes of one pre-token to its ids, or None where this release of the library has none.
+
+    The library's own entries split a text first; what is called here lies inside it, and only here.
+    """
+    return getattr(getattr(encoding, "_core_bpe", None), "encode_single_piece", None)
+
+
 def _merger(tokenizer_json: str):
     """A compiled byte-pair merger for a vocabulary whose ids are its merge order, else None.
 
@@ -48,7 +56,7 @@ def _merger(tokenizer_json: str):
     for k, pair in enumerate(model["merges"]):
         if model["vocab"].get("".join(pair.split(" ") if isinstance(pair, str) else pair)) != 512 + k:
             return None
-    return tiktoken.Encoding("word", pat_str="x", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return piece_encoder(tiktoken.Encoding("word", pat_str="x", mergeable_ranks=ranks, special_tokens={}))
 
 
 class WordBpe(dict):

@@ -109,3 +109,49 @@ def test_leaf_behind_a_block_that_grew():
     tree.replace(0, 0, np.array([7]))
     tree.replace(64, 65, np.array([1000]))
     assert tree.total == sum(range(200)) + 7 - 63 + 1000
+
+
+def test_leaves_are_found_by_characters():
+    import numpy as np
+
+    rng = random.Random(11)
+    for _ in range(40):
+        pieces = ["x" * rng.randint(1, 4) for _ in range(rng.randint(0, 60))]
+        array = lambda p: (np.array([len(x) * 10 for x in p], np.int64), np.array([len(x) for x in p], np.int64), "".join(p))
+        counts, lengths, text = array(pieces)
+        tree = tc.SegmentTree(counts, 4, lengths, text)
+        for _ in range(20):
+            a = rng.randint(0, len(pieces))
+            b = rng.randint(a, min(len(pieces), a + rng.choice([0, 2, 40])))
+            new = [rng.choice("yz") * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 3, 30]))]
+            tree.replace(a, b, *array(new))
+            pieces[a:b] = new
+            text = "".join(pieces)
+            assert ("".join(tree.texts), tree.chars, len(tree), tree.total) == (text, len(text), len(pieces), 10 * len(text))
+            i = rng.randint(0, len(text))
+            assert tree.slice(i, i + 9) == text[i : i + 9]
+            starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(int).tolist()
+            leaf = max(k for k, at in enumerate(starts) if at <= i)
+            assert tree.leaf_at(i) == (leaf, starts[leaf]) and all(tree.start_of(k) == at for k, at in enumerate(starts[:-1]))
+
+
+def test_edits_read_only_their_surroundings(counter, monkeypatch):
+    """An edit of a long text asks for a few hundred characters and never for the whole text."""
+    counted = tc.CountedText("some words here, and others " * 20_000, counter)
+    read, whole = [], tc.SegmentTree.slice
+    monkeypatch.setattr(tc.SegmentTree, "slice", lambda tree, a, b: read.append(b - a) or whole(tree, a, b))
+    monkeypatch.setattr(tc.CountedText, "text", property(lambda self: 1 / 0))
+    rng = random.Random(4)
+    for _ in range(200):
+        a = rng.randint(0, 500_000)
+        counted.edit(a, a + rng.randint(0, 9), "new words"[: rng.randint(0, 9)])
+    assert max(read) < 500
+    monkeypatch.undo()
+    assert counted.tokens == len(counter.encoding.encode_ordinary(counted.text))
+
+
+def test_without_the_inner_entry(monkeypatch):
+    monkeypatch.setattr(tc, "piece_encoder", lambda encoding: None)
+    plain = tc.Counter(tokenizer_path(tc.VOCABULARY))
+    text = "Some words,  and\n\n others 123 日本 'tis "
+    assert tc.CountedText(text, plain).tokens == len(plain.encoding.encode_ordinary(text))
