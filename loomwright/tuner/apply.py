@@ -86,9 +86,10 @@ class Tuner:
         return read_lines(self.spark, path, partitions_of(self.cursor.next(name, "Scan"), default_partitions))
 
     def aggregate(self, df: DataFrame, name: str, keys: list[str], *aggregates: Column, default_partitions: int | None = None) -> DataFrame:
-        """``aggregates`` of ``df`` by its keys; the shuffle of the partial results has the planned partitions.
+        """``aggregates`` of ``df`` by its keys, in the planned partitions.
 
-        Rows are pre-aggregated before they are dealt when the plan leaves their number open.
+        A plan without a number leaves the shuffle to Spark, which pre-aggregates before it. A planned number
+        deals the rows themselves, as the shuffle of partial results takes its number from the session alone.
         """
         action = self.cursor.next(name, "aggregateByKey")
         return apply_action(df, keys, action, default_partitions).groupBy(*keys).agg(*aggregates)
