@@ -318,3 +318,32 @@ def _links(group: pa.RecordBatch, threshold: float, width: int = 2048) -> tuple[
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_dups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# Every link by exact overlap, a pair of texts for every shingle that they share: for small tables only.
+OP1_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, trim(regexp_replace(lower(text), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') AS folded
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+classes AS (SELECT folded, min(doc_id) AS rep, string_split(folded, ' ') AS words FROM texts GROUP BY folded),
+shingles AS (
+  SELECT rep, array_to_string(words[i:i + 4], ' ') AS shingle
+  FROM (SELECT rep, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM classes WHERE folded <> '')),
+elements AS (SELECT rep, shingle, row_number() OVER (PARTITION BY rep, shingle) AS k FROM shingles),
+sizes AS (SELECT rep, count(*) AS n FROM shingles GROUP BY rep),
+shared AS (
+  SELECT a.rep AS a, b.rep AS b, count(*) AS n
+  FROM elements a JOIN elements b ON a.shingle = b.shingle AND a.k = b.k AND a.rep < b.rep GROUP BY a.rep, b.rep),
+links AS (
+  SELECT a, b FROM shared o JOIN sizes x ON x.rep = o.a JOIN sizes y ON y.rep = o.b
+  WHERE 5 * o.n >= 4 * (x.n + y.n - o.n)),
+edges AS (SELECT a AS src, b AS dst FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT rep AS node, rep AS label FROM classes
+  UNION
+  SELECT e.dst, r.label FROM reached r JOIN edges e ON e.src = r.node WHERE r.label < e.dst),
+labels_of AS (SELECT node, min(label) AS class_id FROM reached GROUP BY node)
+SELECT t.doc_id, l.class_id, t.doc_id = l.class_id AS kept
+FROM texts t JOIN classes c ON c.folded = t.folded JOIN labels_of l ON l.node = c.rep
+UNION ALL SELECT doc_id, doc_id, true FROM documents WHERE doc_id IS NULL OR text IS NULL
+"""

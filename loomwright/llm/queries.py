@@ -5,7 +5,7 @@ from __future__ import annotations
 from .embeddings import OP6_SQL, op6_embedding_dedup
 from .fingerprints import op10_fingerprints
 from .line_dedup import OP8_SQL, op8_line_dedup
-from .minhash import op1_near_dedup
+from .minhash import OP1_SQL, op1_near_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op9_packing
 from .sharding import op7_sharding
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": OP1_SQL,
     "op4_mixing": OP4_SQL,
     "op6_embedding_dedup": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
