@@ -2,44 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-
-#: Links for each partition of the loop: its small tables do not need a cluster's worth of partitions.
+#: Most links that one task solves in memory (about 100 MB); more are contracted in rounds before.
+LOCAL_LINKS = 1_000_000
+#: Links for each partition: a small table does not need a cluster's worth of partitions.
 LINKS_PER_PARTITION = 500_000
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 100, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(id, component): the smallest vertex id of each weakly connected component.
 
-    ``edges`` has (src, dst); ``vertices``, if given, has (id) and adds isolated ones. Every round takes
-    the least label among the neighbours and the label of the own label, so long paths shrink by more
-    than a step a round. Labels and edges live in checkpoints, in as many partitions as the number of
-    links asks for; only that number and whether labels changed reach the driver.
+    ``edges`` has (src, dst); ``vertices``, if given, has (id) and adds isolated ones. While more than
+    ``local_links`` links are left, every vertex takes the root that its least neighbours lead to, and links
+    between roots are all that stays: two rounds halve the vertices at least. One task solves the rest, and the
+    rounds are read back. Tables live in checkpoints; only counts reach the driver.
     """
-    links = edges.where("src <> dst").select("src", "dst")
-    links = cut(links.union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    parts = 1 + links.count() // LINKS_PER_PARTITION
-    links = links.coalesce(parts)
-    ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
+    src, dst = F.col("src").cast("long"), F.col("dst").cast("long")
+    # An end without the other one is kept as a link to itself, as are links to oneself.
+    links, n = _kept(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).where("a IS NOT NULL"))
+    rounds: list[DataFrame] = []
+    while n > local_links:
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        roots = _roots(links)
+        rounds.append(roots)
+        at_a = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("x")), "a")
+        both = at_a.join(roots.select(F.col("id").alias("b"), F.col("root").alias("y")), "b")
+        links, n = _kept(both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    labels = links.coalesce(1).mapInArrow(_solve, "id long, component long")
+    for roots in reversed(rounds):
+        further = labels.select(F.col("id").alias("root"), F.col("component").alias("further"))
+        labels = roots.join(further, "root", "left").select("id", F.coalesce("further", "root").alias("component"))
+    labels = cut(labels)
     if vertices is not None:
-        ends = ends.union(vertices.select("id"))
-    first = links.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("near"))
-    labels = ends.distinct().join(first, "id", "left").select("id", F.least("id", F.coalesce("near", "id")).alias("component"))
-    labels = cut(labels.coalesce(parts))
-    for _ in range(max_rounds):
-        met = links.join(labels.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "component").coalesce(parts)
-        near = met.groupBy("id").agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), "near").coalesce(parts)
-        jump = labels.select(F.col("id").alias("was"), F.col("component").alias("further"))
-        rows = hooked.join(jump, "was").select("id", "was", F.least("was", F.coalesce("near", "was"), "further").alias("component"))
-        labels = cut(rows.coalesce(parts))
-        if labels.where("component <> was").limit(1).count() == 0:
-            break
-        labels = labels.select("id", "component")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return labels.select("id", "component")
+        alone = vertices.select(F.col("id").cast("long").alias("id")).where("id IS NOT NULL").distinct().join(labels, "id", "left_anti")
+        labels = labels.union(alone.select("id", F.col("id").alias("component")))
+    return labels
+
+
+def _kept(links: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct links in a checkpoint, and their number."""
+    links = cut(links.distinct())
+    n = links.count()
+    return links.coalesce(1 + n // LINKS_PER_PARTITION), n
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(id, root) of every end of ``links``: where the steps to the least neighbour, as long as it is smaller, end."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("near")), F.struct(F.col("b").alias("id"), F.col("a").alias("near"))))
+    roots = cut(links.select(ends.alias("e")).groupBy(F.col("e.id").alias("id")).agg(F.min("e.near").alias("near")).select("id", F.least("id", "near").alias("root")))
+    while True:
+        further = roots.select(F.col("id").alias("root"), F.col("root").alias("further"))
+        roots = cut(roots.join(further, "root").select("id", F.col("further").alias("root"), (F.col("root") != F.col("further")).alias("moved")))
+        if roots.where("moved").limit(1).count() == 0:
+            return roots.select("id", "root")
+        roots = roots.select("id", "root")
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The labels of all links of a task."""
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (further := root[root]).tobytes() != root.tobytes():
+            root = further
+        on = root[a] != root[b]
+        a, b = a[on], b[on]
+    for k in range(0, len(ids), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 10_000]), pa.array(ids[root[k : k + 10_000]])], ["id", "component"])

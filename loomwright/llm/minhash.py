@@ -36,8 +36,9 @@ BANDS = 16
 #: Most rows of three integers that are broadcast to pick texts (about 40 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Sides of a block in which members outside a component meet those around it: rows, and bytes of their bags.
-BLOCK = (256, 1024)
-BLOCK_BYTES = (8 << 20, 32 << 20)
+#: Squares repeat the fewest bags for as many rows a block.
+BLOCK = (640, 640)
+BLOCK_BYTES = (20 << 20, 20 << 20)
 
 _U = np.uint64
 
@@ -196,10 +197,12 @@ def near_rows(docs: DataFrame, threshold: float = THRESHOLD, components: int = C
     # Rows that repeat a document give its bag again.
     contents = cut(bags(texts).dropDuplicates(["id"]))
 
-    by_hub = cut(verify(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), contents))
+    # Skewed joins leave far more partitions than there are configured; each read and each shuffle of them would start as many tasks.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_hub = cut(verify(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), contents)).coalesce(parts)
     nearest = cut(members.where("n > 2").join(by_hub, (F.col("hub") == F.col("a")) & (F.col("rep") == F.col("b"))).groupBy("bucket").agg(F.max(F.struct("j", F.negate("rep").alias("rep"))).alias("best")).select("bucket", F.negate("best.rep").alias("next")))
     second = members.join(nearest, "bucket").where("rep <> next AND rep <> hub").select(F.col("next").alias("a"), F.col("rep").alias("b")).distinct()
-    by_next = cut(verify(second.join(by_hub, ["a", "b"], "left_anti"), contents))
+    by_next = cut(verify(second.join(by_hub, ["a", "b"], "left_anti"), contents)).coalesce(parts)
     linked = by_hub.where(F.col("j") >= threshold).union(by_next.where(F.col("j") >= threshold)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = connected_components(linked)
 
@@ -209,7 +212,8 @@ def near_rows(docs: DataFrame, threshold: float = THRESHOLD, components: int = C
     homes = named.where("is_hub").select(F.col("bucket").alias("of"), F.col("component").alias("home"))
     around = cut(named.join(homes, F.col("bucket") == F.col("of")).groupBy("home", "rep").agg(F.max(F.col("component") != F.col("home")).alias("apart")))
     last = cut(_meet(around, contents, threshold))
-    found = connected_components(linked.union(last)) if last.limit(1).count() else found
+    known = found.where("id <> component").select(F.col("id").alias("src"), F.col("component").alias("dst"))
+    found = connected_components(known.union(last.coalesce(parts))) if last.limit(1).count() else found
 
     # A class that is in no component stands for itself; the others take the least document of their component.
     heads = classes.join(found, F.col("rep") == F.col("id")).groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("head"))

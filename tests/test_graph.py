@@ -61,6 +61,33 @@ def test_components(spark):
     assert {r["id"]: r["component"] for r in connected_components(edges_of(spark, pairs), vertices).collect()} == label
 
 
+@pytest.mark.parametrize("local_links", [3])
+def test_components_in_rounds(spark, local_links):
+    """A chain in order, one in disorder, parallel links, loops and an edge without an end; rounds of contraction before the last task."""
+    rng = random.Random(3)
+    mixed = rng.sample(range(1000, 1030), 30)
+    pairs = [(i, i + 1) for i in range(100, 120)] + list(zip(mixed, mixed[1:])) + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7), (900, 900), (901, None), (5, 6), (6, 5)]
+    label = {v: v for e in pairs for v in e if v is not None}
+    for _ in range(200):
+        for a, b in pairs:
+            if b is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    got = connected_components(edges_of(spark, pairs), local_links=local_links).collect()
+    assert len(got) == len(label) and {r["id"]: r["component"] for r in got} == label
+
+
+def test_components_read_their_edges_once(spark):
+    """Links over very many partitions, as skewed joins leave them, start no more than a task each."""
+    edges = spark.range(0, 4000, numPartitions=200).selectExpr("id AS src", "id + 1 AS dst")
+    context = spark.sparkContext
+    context.setJobGroup("components", "")
+    assert connected_components(edges).where("component <> 0").count() == 0
+    jobs = context.statusTracker().getJobIdsForGroup("components")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    stages = {k for j in jobs for k in context.statusTracker().getJobInfo(j).stageIds}
+    assert sum(i.numCompletedTasks for k in stages if (i := context.statusTracker().getStageInfo(k))) < 300
+
+
 def test_no_edges(spark):
     assert connected_components(edges_of(spark, [])).count() == 0
     assert adjacency_pagerank(edges_of(spark, []), 2).count() == 0
