@@ -20,7 +20,11 @@ def guarded_correlation(x: Column, y: Column) -> Column:
 
 def legacy_percentile(x: Column, p: float) -> Column:
     """The value at position p * (n + 1) of the sorted values, between neighbours by distance, held to the ends."""
-    v = F.sort_array(F.collect_list(x.cast("double")))
+    return percentile_of(F.sort_array(F.collect_list(x.cast("double"))), p)
+
+
+def percentile_of(v: Column, p: float) -> Column:
+    """The same from a sorted array."""
     n = F.size(v)
     position = F.lit(p) * (n + 1)
     low = F.floor(position).cast("int")

@@ -1,7 +1,8 @@
 """Queries of the tuner over an event log that is made from lineitem, and their SQL twins.
 
 A stage for each supplier, a task for each of its lines (first in the order of order and line number):
-its JSON lines go through the same parser, profiles, policies and planners as a log on disk. Suppliers
+its JSON lines go through the same parser, profiles, policies and planners as a log on disk. The log is
+made in two parts, ends of tasks and submissions of stages; a query makes those that it needs. Suppliers
 take turns in having empty tasks, spills, skewed garbage collection and skewed run times.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, table
 from ..tuner import eventlog, planner
-from ..tuner.actions import Cursor
+from ..tuner.actions import Cursor, Plan
 from ..tuner.apply import partitions_of, plan_events
 from ..tuner.profile import profile
 
@@ -46,10 +47,12 @@ _STAGE = {
 }
 
 
-def _log_lines(spark: SparkSession, d: str, parents: bool) -> DataFrame:
-    """(value) of the log's lines; with ``parents`` every stage reads the two before it, else only the ninth does."""
+def _log_lines(spark: SparkSession, d: str, parents: bool) -> tuple[DataFrame, DataFrame]:
+    """(value) of the lines for ends of tasks and for submissions of stages; with ``parents`` every stage reads the two before it, else only the ninth does."""
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    tasks = table(spark, d, "lineitem").select(F.expr(f"{_S} AS s"), (F.row_number().over(order) - 1).alias("i"), F.expr("CAST(l_partkey % 4 AS STRING) AS executor"), F.expr("l_quantity <= 1 AS lost"), *[F.expr(f"{v} AS {k}") for k, v in _METRICS.items()])
+    # Numbered first: the columns of the table are fewer than the metrics that are made from them.
+    numbered = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", (F.row_number().over(order) - 1).alias("i"))
+    tasks = numbered.select(F.expr(f"{_S} AS s"), "i", F.expr("CAST(l_partkey % 4 AS STRING) AS executor"), F.expr("l_quantity <= 1 AS lost"), *[F.expr(f"{v} AS {k}") for k, v in _METRICS.items()])
     nested = lambda **c: F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k.replace("_", " ")) for k, v in c.items()])
     metrics = nested(
         Executor_Run_Time="run_time", JVM_GC_Time="gc_time", Memory_Bytes_Spilled="mem_spilled", Disk_Bytes_Spilled=F.lit(0),
@@ -75,41 +78,45 @@ def _log_lines(spark: SparkSession, d: str, parents: bool) -> DataFrame:
         RDD_Info=F.when(F.col("num_rdds") == 1, F.array(narrow)).when(F.col("num_rdds") == 2, F.array(narrow, wide)).otherwise(F.array(narrow, wide, scan)),
     )
     submitted = nested(Event=F.lit("SparkListenerStageSubmitted"), Stage_Info=info, Properties=F.create_map(F.lit(eventlog.POINT_PROPERTY), F.col("own_point")))
-    return ends.select(F.to_json(end).alias("value")).union(stages.select(F.to_json(submitted)))
+    # Generators: a projection would make the line again for every condition on it.
+    line = lambda event: F.explode(F.array(F.to_json(event))).alias("value")
+    return ends.select(line(end)), stages.select(line(submitted))
 
 
-def _events(spark: SparkSession, d: str, parents: bool = False) -> DataFrame:
-    return cut(eventlog.parse_events(_log_lines(spark, d, parents)))
+def _events(spark: SparkSession, d: str, parents: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(ends of tasks, submissions of stages)."""
+    ended, submitted = map(eventlog.parse_events, _log_lines(spark, d, parents))
+    return ended, submitted
 
 
-def _found(spark: SparkSession, d: str, parents: bool = False, only_adaptive: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(events, points)."""
-    events = _events(spark, d, parents)
-    stages = eventlog.stages(events)
-    return events, eventlog.points(stages, eventlog.stage_rdds(stages), only_adaptive)
+def _found(spark: SparkSession, d: str, parents: bool = False, only_adaptive: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ends of tasks, stages, points)."""
+    ended, submitted = _events(spark, d, parents)
+    stages = cut(eventlog.stages(submitted))
+    return ended, stages, eventlog.points(stages, eventlog.stage_rdds(stages), only_adaptive)
 
 
 def _instances(spark: SparkSession, d: str, choose=planner.latest) -> list[planner.Instance]:
-    events, found = _found(spark, d)
-    return planner.instances_of(profile(eventlog.task_metrics(events, eventlog.stages(events))), found, choose)
+    ended, stages, found = _found(spark, d)
+    return planner.instances_of(profile(eventlog.task_metrics(ended, stages)), found, choose)
 
 
 def log_task_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Every task of every stage, those that were never logged with zeros."""
-    events = _events(spark, d)
-    return eventlog.task_metrics(events, eventlog.stages(events)).select("stage_id", "idx", *_METRICS)
+    ended, submitted = _events(spark, d)
+    return eventlog.task_metrics(ended, cut(eventlog.stages(submitted))).select("stage_id", "idx", *_METRICS)
 
 
 def log_points(spark: SparkSession, d: str) -> DataFrame:
-    return _found(spark, d)[1].select("stage_id", "name", "num_rdds", "rdd_id", "operator", "point", "named")
+    return _found(spark, d)[2].select("stage_id", "name", "num_rdds", "rdd_id", "operator", "point", "named")
 
 
 def log_points_only_adaptive(spark: SparkSession, d: str) -> DataFrame:
-    return _found(spark, d, only_adaptive=True)[1].select("stage_id", "point")
+    return _found(spark, d, only_adaptive=True)[2].select("stage_id", "point")
 
 
 def dependent_points(spark: SparkSession, d: str) -> DataFrame:
-    return eventlog.dependent_points(_found(spark, d, parents=True)[1])
+    return eventlog.dependent_points(_found(spark, d, parents=True)[2])
 
 
 def _actions(spark: SparkSession, instances: list[planner.Instance], policies) -> DataFrame:
@@ -142,14 +149,19 @@ def point_classes(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(p, planner.is_iterative(own), planner.is_regular(own)) for p, own in points.items()], "point string, iterative boolean, regular boolean")
 
 
+def _plan(spark: SparkSession, d: str) -> Plan:
+    ended, submitted = _events(spark, d)
+    return plan_events(ended, submitted=submitted)
+
+
 def log_plan(spark: SparkSession, d: str) -> DataFrame:
     """The whole plan of the log."""
-    return planner.plan_rows(spark, plan_events(_events(spark, d)))
+    return planner.plan_rows(spark, _plan(spark, d))
 
 
 def planned_partitions(spark: SparkSession, d: str) -> DataFrame:
     """The partitions that visits of each point get, the last ones after the plan is used up."""
-    plan = plan_events(_events(spark, d))
+    plan = _plan(spark, d)
     cursor = Cursor(plan)
     rows = [(p, k, partitions_of(cursor.next(p), DEFAULT_PARTITIONS)) for p in plan for k in range(VISITS)]
     return spark.createDataFrame(rows, "point string, visit int, partitions long")

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from ..session import cut
 from ..sources.text import read_lines
 from . import eventlog
 from .actions import PARTITIONER, PARTITIONS, Action, Cursor, Plan
@@ -30,9 +31,9 @@ def apply_action(df: DataFrame, keys: list[str], action: Action, default_partiti
     return df
 
 
-def plan_events(events: DataFrame, policies=DEFAULT, only_adaptive: bool = False) -> Plan:
-    """The plan that the parsed events of a log lead to."""
-    stages = eventlog.stages(events)
+def plan_events(events: DataFrame, policies=DEFAULT, only_adaptive: bool = False, submitted: DataFrame | None = None) -> Plan:
+    """The plan that the parsed events of a log lead to; ``submitted`` has the submissions of stages, if ``events`` lack them."""
+    stages = cut(eventlog.stages(events if submitted is None else submitted))
     found = eventlog.points(stages, eventlog.stage_rdds(stages), only_adaptive)
     pairs = sorted((r.a, r.b) for r in eventlog.dependent_points(found).collect())
     choose = most_rdds if tuple(policies) == LEGACY else latest

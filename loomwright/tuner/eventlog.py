@@ -25,7 +25,8 @@ ADAPTABLE = ("reduceByKey", "join", "aggregateByKey", "textFile", "partitionBy",
 def parse_events(lines: DataFrame) -> DataFrame:
     """The submissions of stages and ends of tasks among the JSON lines (value) of a log."""
     wanted = F.col("value").contains("SparkListenerStageSubmitted") | F.col("value").contains("SparkListenerTaskEnd")
-    return lines.where(wanted).select(F.from_json("value", SCHEMA).alias("e")).select("e.*")
+    # A generator: with a projection, every use of a field would parse the line again.
+    return lines.where(wanted).select(F.inline(F.array(F.from_json("value", SCHEMA))))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -96,19 +97,32 @@ def dependent_points(point_rows: DataFrame) -> DataFrame:
 
 
 def task_metrics(events: DataFrame, stage_rows: DataFrame) -> DataFrame:
-    """A row per task of a stage: its last successful attempt, else its last; zeros where none is logged."""
-    m, r, w = "t.`Task Metrics`", "t.`Task Metrics`.`Shuffle Read Metrics`", "t.`Task Metrics`.`Shuffle Write Metrics`"
-    ended = events.where("Event = 'SparkListenerTaskEnd'").select(F.struct("*").alias("t"))
-    best = F.struct((F.col("t.`Task End Reason`.Reason") == "Success").alias("ok"), F.col("t.`Task Info`.Attempt").alias("attempt"))
-    last = ended.groupBy(F.col("t.`Stage ID`").alias("s"), F.col("t.`Task Info`.Index").alias("i")).agg(F.max_by("t", best).alias("t"))
-    every = stage_rows.where("num_tasks > 0").select("stage_id", F.explode(F.sequence(F.lit(0), F.col("num_tasks") - 1)).alias("idx"))
-    rows = every.join(last, (F.col("stage_id") == F.col("s")) & (F.col("idx") == F.col("i")), "left")
+    """A row per task of a stage: its last successful attempt, else its last; zeros where none is logged.
+
+    Tasks that should be there and those that were logged are shuffled once together, by stage, so that sums
+    over stages need no further shuffle. Values are kept by rank one by one, which hash aggregation can do.
+    """
+    m, r, w = "`Task Metrics`", "`Task Metrics`.`Shuffle Read Metrics`", "`Task Metrics`.`Shuffle Write Metrics`"
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return rows.select(
-        "stage_id", "idx", F.col("t.`Task Info`.Attempt").alias("attempt"), F.col("t.`Task Info`.`Executor ID`").alias("executor_id"),
-        zero(f"{m}.`Executor Run Time`").alias("run_time"), zero(f"{m}.`JVM GC Time`").alias("gc_time"),
-        zero(f"{m}.`Input Metrics`.`Records Read`").alias("input_records"), zero(f"{m}.`Input Metrics`.`Bytes Read`").alias("input_bytes"),
-        zero(f"{m}.`Memory Bytes Spilled`").alias("mem_spilled"), zero(f"{m}.`Disk Bytes Spilled`").alias("disk_spilled"),
-        zero(f"{r}.`Total Records Read`").alias("sr_records"), (zero(f"{r}.`Remote Bytes Read`") + zero(f"{r}.`Local Bytes Read`")).alias("sr_bytes"), zero(f"{r}.`Fetch Wait Time`").alias("fetch_wait"),
-        zero(f"{w}.`Shuffle Records Written`").alias("sw_records"), zero(f"{w}.`Shuffle Bytes Written`").alias("sw_bytes"),
+    metrics = {
+        "run_time": zero(f"{m}.`Executor Run Time`"), "gc_time": zero(f"{m}.`JVM GC Time`"),
+        "input_records": zero(f"{m}.`Input Metrics`.`Records Read`"), "input_bytes": zero(f"{m}.`Input Metrics`.`Bytes Read`"),
+        "mem_spilled": zero(f"{m}.`Memory Bytes Spilled`"), "disk_spilled": zero(f"{m}.`Disk Bytes Spilled`"),
+        "sr_records": zero(f"{r}.`Total Records Read`"), "sr_bytes": zero(f"{r}.`Remote Bytes Read`") + zero(f"{r}.`Local Bytes Read`"), "fetch_wait": zero(f"{r}.`Fetch Wait Time`"),
+        "sw_records": zero(f"{w}.`Shuffle Records Written`"), "sw_bytes": zero(f"{w}.`Shuffle Bytes Written`"),
+    }
+    attempt, success = F.col("`Task Info`.Attempt"), F.col("`Task End Reason`.Reason") == "Success"
+    # Success first (unknown least), then the attempt (unknown least); above -1, which stands for no log.
+    rank = F.coalesce(F.when(success, 2).otherwise(F.when(success.isNotNull(), 1)), F.lit(0)).cast("long") * (1 << 34) + F.coalesce(attempt.cast("long") + (1 << 32), F.lit(0))
+    ended = events.where("Event = 'SparkListenerTaskEnd'")
+    logged = ended.select(
+        F.col("`Stage ID`").alias("stage_id"), F.col("`Task Info`.Index").alias("idx"), rank.alias("rank"), attempt.alias("attempt"), F.col("`Task Info`.`Executor ID`").alias("executor_id"),
+        *[c.alias(k) for k, c in metrics.items()],
+    )
+    every = stage_rows.where("num_tasks > 0").select(
+        "stage_id", F.explode(F.sequence(F.lit(0), F.col("num_tasks") - 1)).alias("idx"), F.lit(-1).cast("long").alias("rank"), F.lit(None).cast("int").alias("attempt"), F.lit(None).cast("string").alias("executor_id"),
+        *[F.lit(0).cast("long").alias(k) for k in metrics],
     )
+    best = [F.max_by(c, "rank").alias(c) for c in ("attempt", "executor_id", *metrics)]
+    rows = logged.union(every).repartition("stage_id").groupBy("stage_id", "idx").agg(F.min("rank").alias("least"), *best)
+    return rows.where("least = -1").drop("least")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import guarded_correlation, legacy_percentile, max_over_mean, ratio, sample_skewness
+from ..functions.stats import guarded_correlation, max_over_mean, percentile_of, ratio, sample_skewness
 
 #: Skewness above which tasks count as skewed, and correlation from which metrics go together.
 SKEW = 1.5
@@ -30,7 +30,7 @@ def executor_gc(tasks: DataFrame) -> DataFrame:
 
 
 def profile(tasks: DataFrame) -> DataFrame:
-    """One row per stage with the figures of all policies."""
+    """One row per stage with the figures of all policies, in one pass over the tasks."""
     gc = ratio(F.col("gc_time"), F.col("run_time"))
     rows = tasks.withColumn("gc", gc).withColumn("blocked", ratio(F.col("fetch_wait"), F.col("run_time")))
     # A task without a run time has no overhead, which makes the skewness of the stage undefined.
@@ -42,8 +42,7 @@ def profile(tasks: DataFrame) -> DataFrame:
         F.sum("sw_bytes").alias("shuffle_write"),
         F.sum(F.col("input_records") + F.col("sr_records")).alias("records_read"),
         F.when(known, sample_skewness(F.col("gc"))).alias("gc_skew"),
-        legacy_percentile(F.col("gc"), 0.5).alias("gc_q2"),
-        legacy_percentile(F.col("gc"), 0.75).alias("gc_q3"),
+        F.sort_array(F.collect_list("gc")).alias("gcs"),
         sample_skewness(F.col("run_time")).alias("run_skew"),
         guarded_correlation(F.col("run_time"), F.col("sr_bytes")).alias("corr_bytes"),
         guarded_correlation(F.col("run_time"), F.col("sr_records")).alias("corr_records"),
@@ -51,10 +50,12 @@ def profile(tasks: DataFrame) -> DataFrame:
         max_over_mean(F.col("run_time")).alias("run_max_over_mean"),
         F.max("gc_time").alias("gc_max"), F.min("gc_time").alias("gc_min"), max_over_mean(F.col("gc_time")).alias("gc_max_over_mean"),
     )
+    out = out.where("stage_id IS NOT NULL").withColumn("gc_q2", percentile_of(F.col("gcs"), 0.5)).withColumn("gc_q3", percentile_of(F.col("gcs"), 0.75))
     target = F.least(F.when(F.col("gc_q2") > 0, F.col("gc_q2")), F.when(F.col("gc_q3") > 0, F.col("gc_q3")))
+    # Tasks without an overhead, and all tasks of a stage without a target, stay whole.
+    split = F.aggregate("gcs", F.lit(0).cast("long"), lambda n, gc: n + F.greatest(F.lit(1).cast("long"), F.ceil(gc / F.col("gc_target"))))
     out = out.withColumn("gc_target", target)
-    split = rows.join(out.select(F.col("stage_id").alias("s"), "gc_target"), F.col("stage_id") == F.col("s")).groupBy("stage_id").agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("gc") / F.col("gc_target")))).cast("long").alias("gc_partitions"))
-    return out.join(split, "stage_id")
+    return out.withColumn("gc_partitions", (F.col("num_tasks") - F.size("gcs") + split).cast("long")).drop("gcs")
 
 
 def empty_partitions(p: DataFrame) -> DataFrame:

@@ -149,3 +149,13 @@ def test_points_and_dependencies(spark):
     assert {r["stage_id"]: (r["point"], r["operator"], r["named"]) for r in found.collect()} == {1: ("own", "Exchange", True), 2: ("y-Scan", "Scan", False), 3: ("adaptive z", "join", True), 4: ("end", "Exchange", True)}
     assert sorted(map(tuple, eventlog.dependent_points(found).collect())) == [("adaptive z", "own"), ("own", "y-Scan")]
     assert {r["stage_id"] for r in eventlog.points(stages, eventlog.stage_rdds(stages), only_adaptive=True).collect()} == {1, 3, 4}
+
+
+def test_one_pass_over_the_tasks(spark):
+    """Task lines are parsed once and shuffled by stage once, without a join or a copy of all events on disk; hash aggregation keeps the last attempts."""
+    from loomwright.plans import log_queries
+
+    ended, stages, _ = log_queries._found(spark, "/root/testdata/sf0.001")
+    plan = prof.profile(eventlog.task_metrics(ended, stages))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("from_json") == 1
+    assert "Join" not in plan and "SortAggregate" not in plan
