@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,12 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     ``edges`` has (src, dst); ``vertices``, if given, has (id) and adds isolated ones. While more than
     ``local_links`` links are left, every vertex takes the root that its least neighbours lead to, and links
     between roots are all that stays: two rounds halve the vertices at least. One task solves the rest, and the
-    rounds are read back. Tables live in checkpoints; only counts reach the driver.
+    rounds are read back. Before each count every task replaces its links by a forest with the same components,
+    so what is shuffled and kept follows the vertices. Tables live in checkpoints; only counts reach the driver.
     """
     src, dst = F.col("src").cast("long"), F.col("dst").cast("long")
     # An end without the other one is kept as a link to itself, as are links to oneself.
-    links, n = _kept(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).where("a IS NOT NULL"))
+    links, n = _kept(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).where("a IS NOT NULL"), local_links)
     rounds: list[DataFrame] = []
     while n > local_links:
         if len(rounds) == max_rounds:
@@ -36,7 +38,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
         rounds.append(roots)
         at_a = links.join(roots.select(F.col("id").alias("a"), F.col("root").alias("x")), "a")
         both = at_a.join(roots.select(F.col("id").alias("b"), F.col("root").alias("y")), "b")
-        links, n = _kept(both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        links, n = _kept(both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), local_links)
     labels = links.coalesce(1).mapInArrow(_solve, "id long, component long")
     for roots in reversed(rounds):
         further = labels.select(F.col("id").alias("root"), F.col("component").alias("further"))
@@ -48,9 +50,9 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     return labels
 
 
-def _kept(links: DataFrame) -> tuple[DataFrame, int]:
-    """The distinct links in a checkpoint, and their number."""
-    links = cut(links.distinct())
+def _kept(links: DataFrame, most: int = LOCAL_LINKS) -> tuple[DataFrame, int]:
+    """Links with the components and ends of ``links`` in a checkpoint, distinct, and their number."""
+    links = cut(links.mapInArrow(partial(_forest, most=most), "a long, b long").distinct())
     n = links.count()
     return links.coalesce(1 + n // LINKS_PER_PARTITION), n
 
@@ -67,11 +69,42 @@ def _roots(links: DataFrame) -> DataFrame:
         roots = roots.select("id", "root")
 
 
+def _forest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """A link from every end of a task's links to the least of its component, a loop for one alone.
+
+    About ``most`` links are held; a forest of more than half as many is passed on, a smaller one takes in further links.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        n += batch.num_rows
+        if n >= most:
+            held = [_stars(held)]
+            if (n := len(held[0][0])) > most // 2:
+                yield from _rows(*held[0], ["a", "b"])
+                held, n = [], 0
+    if n:
+        yield from _rows(*_stars(held), ["a", "b"])
+
+
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The labels of all links of a task."""
     parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
+    if parts:
+        ids, root = _labelled(parts)
+        yield from _rows(ids, ids[root], ["id", "component"])
+
+
+def _stars(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    ids, root = _labelled(parts)
+    # The least of a component is an end of the others' links already.
+    on = (root != np.arange(len(ids))) | (np.bincount(root, minlength=len(ids)) == 1)
+    return ids[root[on]], ids[on]
+
+
+def _labelled(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of links in order, and the place of the least of each one's component."""
     a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     a, b, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
@@ -82,5 +115,9 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = further
         on = root[a] != root[b]
         a, b = a[on], b[on]
-    for k in range(0, len(ids), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 10_000]), pa.array(ids[root[k : k + 10_000]])], ["id", "component"])
+    return ids, root
+
+
+def _rows(first: np.ndarray, second: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(first), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(first[k : k + 10_000]), pa.array(second[k : k + 10_000])], names)

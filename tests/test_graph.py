@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from loomwright.graph import components
 from loomwright.graph.components import connected_components
 from loomwright.graph.pagerank import adjacency_pagerank, static_pagerank
 from loomwright.sources import text
@@ -88,6 +89,17 @@ def test_components_read_their_edges_once(spark):
     assert sum(i.numCompletedTasks for k in stages if (i := context.statusTracker().getStageInfo(k))) < 300
 
 
+@pytest.mark.parametrize("most", [50, 1_000_000])
+def test_tasks_keep_forests_of_their_links(spark, most):
+    """A dense graph leaves no more links a task than it has vertices, and no end or component is lost."""
+    links = spark.range(0, 9900, numPartitions=3).selectExpr("id % 99 AS x", "(id * 7 + id div 99) % 99 AS y").selectExpr("least(x, y) AS a", "greatest(x, y) AS b")
+    links = links.union(spark.createDataFrame([(500, 500), (600, 601), (601, 602)], "a long, b long")).coalesce(3)
+    kept, n = components._kept(links, most)
+    assert n == kept.count() and (n <= 3 * 104 or most == 50)
+    label = {r["id"]: r["component"] for r in connected_components(kept.selectExpr("a AS src", "b AS dst")).collect()}
+    assert label == {**dict.fromkeys(range(99), 0), 500: 500, 600: 600, 601: 600, 602: 600}
+
+
 def test_no_edges(spark):
     assert connected_components(edges_of(spark, [])).count() == 0
     assert adjacency_pagerank(edges_of(spark, []), 2).count() == 0
