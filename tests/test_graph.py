@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from loomwright.graph import components
+from loomwright.graph import components, pagerank
 from loomwright.graph.components import connected_components
 from loomwright.graph.pagerank import adjacency_pagerank, static_pagerank
 from loomwright.sources import text
@@ -89,6 +89,42 @@ def test_components_read_their_edges_once(spark):
     assert sum(i.numCompletedTasks for k in stages if (i := context.statusTracker().getStageInfo(k))) < 300
 
 
+@pytest.mark.parametrize("iterations", [0, 1, 10])
+def test_pageranks_over_many_owners(spark, monkeypatch, iterations):
+    """Several owners and chunks, a hub out and a hub in, parallel links, ends without in-links or out-links, ranks of given vertices."""
+    monkeypatch.setattr(pagerank, "LINKS_PER_OWNER", 60)
+    monkeypatch.setattr(pagerank, "CHUNK_LINKS", 20)
+    rng = random.Random(4)
+    pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(300)] * 2 + [(1000, v) for v in range(80)] + [(v, -5) for v in range(80)] + [(2000, 2001), (2001, 2002)]
+    got = {r["id"]: r["rank"] for r in adjacency_pagerank(edges_of(spark, pairs), iterations).collect()}
+    assert got == pytest.approx(brute_pagerank(pairs, iterations, False))
+    got = static_pagerank(edges_of(spark, pairs), iterations, 0.2).collect()
+    assert len(got) == len({r["id"] for r in got}) and {r["id"]: r["rank"] for r in got} == pytest.approx(brute_pagerank(pairs, iterations, True, 0.2))
+    given = spark.createDataFrame([(v,) for v in {a for a, _ in pairs} | {7777}] * 2, "id long")
+    want = brute_pagerank(pairs, iterations, False) | ({7777: 1.0} if iterations == 0 else {})
+    assert {r["id"]: r["rank"] for r in adjacency_pagerank(edges_of(spark, pairs), iterations, given).collect()} == pytest.approx(want)
+
+
+def test_pageranks_of_edges_without_an_end(spark):
+    """A null id is linked to but not from, as in SQL: of ranks without in-links it has none, and the degree counts its links."""
+    edges = edges_of(spark, [(1, 2), (2, 1), (1, None), (None, 2)])
+    half = 0.15 + 0.85 / 2
+    assert {r["id"]: r["rank"] for r in adjacency_pagerank(edges, 1).collect()} == pytest.approx({1: 1.0, 2: half, None: half})
+    assert {r["id"]: r["rank"] for r in static_pagerank(edges, 1).collect()} == pytest.approx({1: 1.0, 2: half, None: 0.15})
+
+
+def test_iterations_of_pagerank_move_sums_not_links(spark):
+    """Ten iterations over 40,000 links between 400 vertices shuffle less than a tenth of the links in each."""
+    edges = spark.range(0, 40_000).selectExpr("id % 200 AS src", "200 + id div 200 AS dst")
+    edges = edges.union(edges.selectExpr("dst", "src"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    no = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    seen = {no.apply(k).stageId() for k in range(no.size())}
+    assert static_pagerank(edges, 10).count() == 400
+    now = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    assert sum(s.shuffleWriteRecords() for k in range(now.size()) if (s := now.apply(k)).stageId() not in seen) < 8_000
+
+
 @pytest.mark.parametrize("most", [50, 1_000_000])
 def test_tasks_keep_forests_of_their_links(spark, most):
     """A dense graph leaves no more links a task than it has vertices, and no end or component is lost."""
