@@ -23,7 +23,7 @@ PACKED_LINKS = 500_000
 CHUNK_LINKS = 2_000_000
 #: Links for each owner, on average.
 LINKS_PER_OWNER = 1_500_000
-#: Stands for a null id, which is linked from but not to.
+#: Stands for a null id, which can be linked to but passes nothing on.
 NULL_ID = -(2**63)
 
 
