@@ -64,3 +64,17 @@ def test_edges_of_all_lines(spark, name):
 def test_ranks_of_all_lines(spark, name):
     got = {r["id"]: r["rank"] for r in QUERIES[name](spark, SF).collect()}
     assert got == pytest.approx(brute_pagerank(trade_of(SF), PAGERANK_ITERATIONS, name == "pagerank_reset_all"), abs=2e-6)
+
+
+def test_ranks_read_lines_once_and_move_no_links(spark):
+    """All ten iterations together shuffle fewer records than there are lines, orders and links once."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    no = store.stageList(None, False, False, none, None)
+    seen = {no.apply(k).stageId() for k in range(no.size())}
+    links = trade_of(SF)
+    assert QUERIES["pagerank_reset_all"](spark, SF).count() == len({v for e in links for v in e})
+    now = store.stageList(None, False, False, none, None)
+    moved = sum(s.shuffleWriteRecords() for k in range(now.size()) if (s := now.apply(k)).stageId() not in seen)
+    once = pq.read_metadata(f"{SF}/lineitem.parquet").num_rows + pq.read_metadata(f"{SF}/orders.parquet").num_rows + len(links)
+    assert 0 < moved < once
